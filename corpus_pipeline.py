@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import bpe, decontaminate, near_dedup, pii, queries
+from skeinwork.llm import bpe, decontaminate, near_dedup, pii, quality_classifier, queries
 from skeinwork.llm.common import written
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_classifier.classify(docs, model)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
     return near_dedup.drop_duplicates(docs)
@@ -35,6 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", quality),
     ("near_duplicates", near_duplicates),
     ("benchmark", benchmark),
     ("personal_data", personal_data),

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import bpe, decontaminate, near_dedup, pii, quality_rules, sharding, warc
+from skeinwork.llm import (
+    bpe,
+    decontaminate,
+    licenses,
+    near_dedup,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    url_filter,
+    warc,
+)
 
 #: The tokenizer file and the split pattern of the production query; both are parameters of the operator.
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -87,6 +98,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).drop("text")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, url_filter.train()).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_classifier.classify(docs, model)
+    return scored.select("doc_id", quality_classifier.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -95,5 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_shard": op5_shard,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_licenses": op10_licenses,
 }
 SQL: dict[str, str] = {}
