@@ -1,18 +1,20 @@
 """Near-duplicate groups by MinHash bands, odd sketches and exact confirmation.
 
 A document's set holds its distinct five-word shingles. Documents with equal sets are one node. A node's MinHash samples
-make banded keys, which find candidates, and an odd sketch: each sample toggles one bit of a bitmap, so that the
-popcount of two bitmaps' XOR estimates how many samples differ. It is precise for high similarities, and candidates far
-below the threshold fall out on it. The others are confirmed on their full sets.
+make banded keys, which find candidates, and an odd sketch: each one-permutation sample toggles one bit of a bitmap, so
+that the popcount of two bitmaps' XOR estimates how many samples differ. It is precise for high similarities, and
+candidates below the threshold fall out on it. The others are confirmed on their full sets.
 
 No group is expanded into its pairs. In each band every node is first held against one pivot; the confirmed links make
-components. Only bands that still hold two components are joined with themselves, across components, under the sketch's
-bound; so what the pivots did not connect is held against all the rest, and large groups of copies cost one pair each.
+components. Only bands that still hold two components are held against themselves, in blocks of bounded size, and give
+the pairs across components that the sketches let pass; so what the pivots did not connect is held against all the rest,
+and large groups of copies cost one pair each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
@@ -27,9 +29,11 @@ from skeinwork.llm.common import add_by_text, ascii_lower, without, written
 WORDS, SIMILAR = 5, 75
 #: 32 bands of 4: a pair at the threshold shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 BANDS, ROWS = 32, 4
-SAMPLES, BITS = BANDS * ROWS, 512
-#: Bits that may differ. At similarity 0.75 it is 57 on average with a deviation below 9; unlike pairs have about 128.
-MOST_BITS = 106
+SAMPLES = BANDS * ROWS
+#: An odd sketch folds the one-permutation samples of so many bins into so many bits.
+BINS, BITS = 1024, 2048
+#: Standard deviations that an estimate at the threshold may fall short before a pair is dropped unconfirmed.
+SIGMAS = 5.5
 #: Ids that are broadcast at most; more are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -108,16 +112,17 @@ def bands(samples: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """A bitmap of ``BITS`` bits where every (sample's number, value) toggles one."""
-    at = _mix(samples.astype(_U) << _U(8) | np.arange(SAMPLES, dtype=_U)) % _U(BITS)
-    odd = np.bincount(at.astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def bin_samples(items: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash: of each of ``BINS`` ranges of the hash the least item, if there is one. A small set is
+    sampled whole, or nearly so."""
+    bins = (items >> _U(64 - BINS.bit_length() + 1)).astype(np.int64)
+    return items[np.flatnonzero(np.diff(bins, prepend=-1))]
 
 
-def estimate(differing: np.ndarray) -> np.ndarray:
-    """Similarity that an XOR popcount stands for."""
-    return 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * differing / BITS))
+def odd_sketch(samples: np.ndarray) -> np.ndarray:
+    """A bitmap of ``BITS`` bits in which every sample toggles one. A sample tells its own bin."""
+    odd = np.bincount((_mix(samples) % _U(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILAR) -> bool:
@@ -133,6 +138,7 @@ _FIELDS = [
     T.StructField("__set", T.BinaryType()),
     T.StructField("__bands", T.ArrayType(T.LongType())),
     T.StructField("__sketch", T.ArrayType(T.LongType())),
+    T.StructField("__samples", T.IntegerType()),
 ]
 
 
@@ -146,10 +152,10 @@ def _signatures() -> Callable:
         for raw in texts:
             items = shingles(raw)
             if len(items):
-                samples = minhash(items)
-                rows.append((len(items), _key(items), bands(samples), odd_sketch(samples)))
+                own = bin_samples(items)
+                rows.append((len(items), _key(items), bands(minhash(items)), odd_sketch(own), len(own)))
             else:
-                rows.append((0, None, None, None))
+                rows.append((0, None, None, None, None))
         return list(map(list, zip(*rows, strict=True)))
 
     return compute
@@ -164,18 +170,63 @@ def _keys(with_items: bool) -> Callable:
     return compute
 
 
-def _differing(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.get(F.col(a), k).bitwiseXOR(F.get(F.col(b), k))) for k in range(BITS // 64)), F.lit(0))
+def close(n_a, s_a, sketch_a, n_b, s_b, sketch_b) -> np.ndarray:
+    """Whether pairs of nodes (sizes, sample counts, sketches; arrays that broadcast) may be similar.
+
+    Their sizes must allow it, and their sketches speak for it: the XOR has p bits, which stand for
+    D = ln(1 - 2p/BITS) / ln(1 - 2/BITS) samples of one node alone. At the threshold J the nodes' union has
+    U = (n_a + n_b) / (1 + J) items in B = BINS * (1 - exp(-U / BINS)) bins, of which J * B are expected to agree. Fewer
+    by ``SIGMAS`` deviations of the sampling (without replacement) and of the folding: not similar.
+    """
+    j = SIMILAR / 100
+    bits = np.bitwise_count((sketch_a ^ sketch_b).view(_U)).sum(axis=-1, dtype=np.int64)  # of a signed word it counts the magnitude
+    agree = (s_a + s_b - np.log(np.maximum(1 - 2 * bits / BITS, 1e-9)) / math.log(1 - 2 / BITS)) / 2
+    union = (n_a + n_b) / (1 + j)
+    used = BINS * -np.expm1(-union / BINS)
+    apart = np.maximum(s_a + s_b - 2 * j * used, 0)
+    spread = used * j * (1 - j) * (1 - used / union) + (BITS / 4 * np.expm1(4 * apart / BITS) - apart) / 4 + 0.5
+    sized = 100 * np.minimum(n_a, n_b) >= SIMILAR * np.maximum(n_a, n_b)
+    return sized & (agree >= j * used - SIGMAS * np.sqrt(spread))
+
+
+#: Nodes of a band that are held against each other at once, at most about so many on either side.
+BLOCK = 256
+_PAIRS = "a long, b long"
+
+
+def _members(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """node, root, n, s, sketch and bands of an Arrow array of node structs."""
+    flat = [column.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+    wide = [column.field(k).flatten().to_numpy().reshape(len(column), -1) for k in (4, 5)]
+    return *flat, wide[0], wide[1]
+
+
+def _node(root: Column) -> Column:
+    return F.struct("node", root.cast("bigint").alias("root"), F.col("n_shingles").alias("n"), F.col("__samples").alias("s"), F.col("__sketch").alias("sketch"), F.col("__bands").alias("bands"))
 
 
-def _near(a: str, b: str) -> Column:
-    """Whether two nodes may be similar: their sizes allow it and their sketches are close."""
-    x, y = F.col(f"{a}_n"), F.col(f"{b}_n")
-    return (100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)) & (_differing(f"{a}_sketch", f"{b}_sketch") <= MOST_BITS)
+def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those of (x, y) node structs that are close."""
+    for batch in batches:
+        x, y = _members(batch.column(0)), _members(batch.column(1))
+        ok = close(*x[2:5], *y[2:5])
+        yield pa.RecordBatch.from_arrays([pa.array(x[0][ok]), pa.array(y[0][ok])], names=["a", "b"])
 
 
-def _node_cols(nodes: DataFrame, side: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("__sketch").alias(f"{side}_sketch"))
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Close pairs across components of two blocks (band, xs, ys) of a band: each pair in the first band it shares."""
+    for batch in batches:
+        for band, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            x, y = _members(xs.values), _members(ys.values)
+            ok = close(x[2][:, None], x[3][:, None], x[4][:, None], y[2][None], y[3][None], y[4][None])
+            ok &= x[1][:, None] != y[1][None]
+            i, k = np.nonzero(ok)
+            same = x[5][i] == y[5][k]
+            first = x[5][i, same.argmax(axis=1)] == band if len(i) else np.zeros(0, dtype=bool)
+            i, k = i[first], k[first]
+            a, b = np.minimum(x[0][i], y[0][k]), np.maximum(x[0][i], y[0][k])
+            pairs = np.unique(np.stack((a, b), axis=1), axis=0)  # both orders of a pair within one block
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -234,19 +285,22 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     shared = exploded.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = written(exploded.join(shared, "band"), "near-members")  # node, band, a: bands of two nodes or more
     stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    stars = stars.join(_node_cols(nodes, "a"), "a").join(_node_cols(nodes, "b"), "b").where(_near("a", "b")).select("a", "b")
-    stars = written(stars, "near-stars")
+    sides = nodes.select("node", _node(F.lit(0)).alias("x"))
+    stars = stars.join(sides.withColumnRenamed("node", "a"), "a").join(sides.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+    stars = written(stars.select("x", "y").mapInArrow(_close_pairs, _PAIRS), "near-stars")
     links = written(confirm(stars, nodes, docs, id_col, text_col), "near-links")
     found = written(components(links), "near-roots")
 
     rooted = members.select("node", "band").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = rooted.join(split, "band", "left_semi").join(_node_cols(nodes, "node").select("node", "node_n", "node_sketch"), "node")
-    rest = written(rest, "near-rest")
-    left, right = (rest.select("band", *[F.col(c).alias(c.replace("node", x)) for c in ("node", "node_n", "node_sketch")], F.col("root").alias(f"{x}_root")) for x in "ab")
-    cross = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _near("a", "b"))
-    cross = cross.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    cross = written(cross, "near-cross")
+    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
+    split = split.where("lo < hi").select("band", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    rest = rooted.join(split, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rest = rest.join(nodes.select("node", "n_shingles", "__samples", "__sketch", "__bands"), "node")
+    blocks = rest.groupBy("band", "block").agg(F.collect_list(_node(F.col("root"))).alias("xs"))
+    blocks = written(blocks, "near-blocks")
+    other = blocks.select("band", F.col("block").alias("block_y"), F.col("xs").alias("ys"))
+    cross = blocks.join(other, "band").where("block <= block_y").select("band", "xs", "ys").mapInArrow(_block_pairs, _PAIRS)
+    cross = written(cross.join(stars, ["a", "b"], "left_anti"), "near-cross")
     if cross.isEmpty():
         return found
     more = confirm(cross, nodes, docs, id_col, text_col)
@@ -262,7 +316,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     some = signed.where("__set is not null")
     nodes = some.groupBy("__set").agg(
         F.min(id_col).alias("__id"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"),
-        F.first("__bands").alias("__bands"), F.first("__sketch").alias("__sketch"),
+        F.first("__bands").alias("__bands"), F.first("__sketch").alias("__sketch"), F.first("__samples").alias("__samples"),
     )
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     found = node_links(nodes, source, id_col, text_col)
