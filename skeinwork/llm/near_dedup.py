@@ -31,7 +31,7 @@ WORDS, SIMILAR = 5, 75
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 #: An odd sketch folds the one-permutation samples of so many bins into so many bits.
-BINS, BITS = 1024, 2048
+BINS, BITS = 8192, 8192
 #: Standard deviations that an estimate at the threshold may fall short before a pair is dropped unconfirmed.
 SIGMAS = 5.5
 #: Ids that are broadcast at most; more are shuffled.
@@ -183,14 +183,16 @@ def close(n_a, s_a, sketch_a, n_b, s_b, sketch_b) -> np.ndarray:
     agree = (s_a + s_b - np.log(np.maximum(1 - 2 * bits / BITS, 1e-9)) / math.log(1 - 2 / BITS)) / 2
     union = (n_a + n_b) / (1 + j)
     used = BINS * -np.expm1(-union / BINS)
-    apart = np.maximum(s_a + s_b - 2 * j * used, 0)
+    share = j * used / (BINS * -(np.expm1(-n_a / BINS) + np.expm1(-n_b / BINS)))
+    want = share * (s_a + s_b)  # of the samples at hand: how many bins they fill by chance cancels out
+    apart = np.maximum(s_a + s_b - 2 * want, 0)
     spread = used * j * (1 - j) * (1 - used / union) + (BITS / 4 * np.expm1(4 * apart / BITS) - apart) / 4 + 0.5
     sized = 100 * np.minimum(n_a, n_b) >= SIMILAR * np.maximum(n_a, n_b)
-    return sized & (agree >= j * used - SIGMAS * np.sqrt(spread))
+    return sized & (agree >= want - SIGMAS * np.sqrt(spread))
 
 
 #: Nodes of a band that are held against each other at once, at most about so many on either side.
-BLOCK = 256
+BLOCK = 128
 _PAIRS = "a long, b long"
 
 
