@@ -52,22 +52,19 @@ def unfeistel(df: DataFrame, col: str, a: int, b: int, seed: int) -> DataFrame:
 
 
 def longest_walk(spark: SparkSession, n: int, seed: int, step=feistel) -> int:
-    """The most steps that any number below ``n`` needs: one more than the longest stay of the fewer than sqrt(n) + 1
-    outside values outside. It is found by walking these values alone, so no row is ever left outside."""
+    """The most steps that any number below ``n`` needs: one more than the longest stay outside. It is found by walking
+    the fewer than sqrt(n) + 1 outside values alone, so no row is ever left outside.
+
+    Each step's values are written: a filter over several nested steps would be pushed down through all of them, and its
+    expression grow with a power of their number. A value that only meets other outside values is never met from inside.
+    """
     a, b = sides(n)
-    if a * b <= n:
-        return 1
-    steps, outside = 1, spark.range(n, a * b).select(F.col("id").alias("x"))
-    while True:
-        # A value reached from inside stays outside for as long as its own walk lasts.
-        left = outside
-        for _ in range(steps):
-            left = step(left, "x", a, b, seed).where(F.col("x") >= n)
+    left = spark.range(n, a * b).select(F.col("id").alias("x"))
+    for k in range(1, a * b - n + 1):
+        left = written(step(left, "x", a, b, seed), "shard-walk").where(F.col("x") >= n)
         if left.isEmpty():
-            return steps + 1
-        steps += 1
-        if steps > a:  # some outside values only lead to each other; no inside value meets those
-            return steps
+            return k + 1
+    return a * b - n + 1
 
 
 def permute(df: DataFrame, col: str, n: int, seed: int, walk: int, step=feistel) -> DataFrame:
