@@ -82,6 +82,8 @@ class UrlModel:
     bias: float
 
     def score(self, dims: np.ndarray) -> float:
+        if not len(dims):  # neither host nor path: nothing speaks against it
+            return 0.0
         x = float(self.weights[dims].sum()) / max(1.0, np.sqrt(len(dims))) + self.bias
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
@@ -130,7 +132,8 @@ def filter_urls(pages: DataFrame, model: UrlModel, rules=RULES, url_col: str = "
     """Adds ``host``, ``path``, ``rule``, ``block_score`` and ``verdict`` ("allow" or "block") to each row; no shuffle.
 
     Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``,
-    ``#`` or the end. A null URL or one without ``://`` has both empty. A rule fits its host and that host's subdomains
+    ``#`` or the end. A null URL or one without ``://`` has both empty and
+    is allowed. A rule fits its host and that host's subdomains
     where the path starts with the rule's; the longest (host and path) wins, the earlier one of equal rules. Without a
     rule, the model blocks from ``threshold`` on. Repeated rows get equal results; input columns with the name of a new
     one are replaced.
