@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from skeinwork.llm.common import add_by_text
 
 #: Bounds of what a worker keeps; when one is reached, that store starts anew.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 250_000, 1_000_000, 400_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 120_000, 300_000, 150_000
 #: A vocabulary beyond so many bytes is refused: it is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 _NONE = 1 << 60
