@@ -243,6 +243,38 @@ def test_quality_rules(spark):
     assert [r.in_bands for r in quality_rules.quality_rules(odd).orderBy("doc_id").collect()] == [True, False] or not quality_rules.quality_rules(odd).first().kept
 
 
+def prose(rng, n_bytes):
+    """Sentences of invented words, some far more frequent than others, cut at ``n_bytes``."""
+    lexicon = ["".join(rng.choice("bcdfghlmnprstvw") + rng.choice("aeiou") + rng.choice(["", "n", "r", "s"]) for _ in range(rng.choice([1, 2, 2, 3, 4]))) for _ in range(3000)]
+    weights = [1 / (k + 3) for k in range(len(lexicon))]
+    out, size = [], 0
+    while size < n_bytes:
+        s = " ".join(rng.choices(lexicon, weights, k=rng.randint(6, 16))).capitalize() + ". "
+        out.append(s)
+        size += len(s)
+    return "".join(out)[:n_bytes]
+
+
+def in_words(s, size):
+    return " ".join(s[k : k + size] for k in range(0, len(s), size))
+
+
+def verdicts(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.base_failed, r.in_bands) for r in quality_rules.quality_rules(rows).orderBy("doc_id").collect()]
+
+
+def test_bands_decide_beyond_the_base_rule(spark):
+    rng = random.Random(11)
+    good = [prose(rng, n) for n in (400, 700, 1500, 3000, 6000, 12_000, 40_000, 90_000)]
+    packed = [in_words(base64.b64encode(rng.randbytes(n)).decode(), 9) for n in (450, 600, 1500, 3000, 12_000, 60_000)]
+    packed += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz" + " " * 5, k=n)) for n in (6000, 12_000, 60_000)]
+    half = [prose(rng, n * 11 // 20) + "subscribe " * (n * 9 // 200) for n in (1500, 3000, 7000, 20_000, 90_000)]
+    assert verdicts(spark, good) == [(False, True)] * len(good)
+    assert verdicts(spark, packed) == [(False, False)] * len(packed)
+    assert verdicts(spark, half) == [(False, False)] * len(half)
+
+
 def test_url_filter(spark):
     urls = ["HTTP://WWW.Example.COM/en/1?q#f", "x://example.com/en/", "http://a.example.com/en/x", "http://example.com", "http://b.net/es/1", "nonsense", None, "http://www.spam-farm.example.org/en/1", "http://com/", "http://h.org/a://b?c"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("Rule", F.lit(1))
