@@ -275,6 +275,28 @@ def test_bands_decide_beyond_the_base_rule(spark):
     assert verdicts(spark, half) == [(False, False)] * len(half)
 
 
+def test_chunks_of_short_texts_tails_and_stretches(spark):
+    rng = random.Random(12)
+    noise = lambda n: in_words(base64.b64encode(rng.randbytes(n)).decode(), 9)[:n]
+    good = [prose(rng, n) for n in (4096, 4100, 8191, 8192, 12_500, 90_000)]
+    good += [prose(rng, 50_000) + noise(4096) + prose(rng, 50_000)]  # one odd chunk in a long text is no reason
+    bad = [
+        prose(rng, 60_000) + "spam " * 6000,
+        prose(rng, 60_000) + noise(14_000) + prose(rng, 60_000),
+        prose(rng, 150_000) + "spam " * 2600 + prose(rng, 150_000),
+        prose(rng, 4200) + "spam " * 500,
+        prose(rng, 9000) + noise(4090),
+        noise(3900) + prose(rng, 4200),
+    ]
+    assert verdicts(spark, good) == [(False, True)] * len(good)
+    assert verdicts(spark, bad) == [(False, False)] * len(bad)
+    # By the chunks themselves: the band of whole texts takes no part.
+    wide = quality_rules.Bands(whole=((0, 0.0, 1e9),))
+    rows = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    got = [r.in_bands for r in quality_rules.quality_rules(rows, bands=wide).orderBy("doc_id").collect()]
+    assert got == [True] * len(good) + [False] * len(bad)
+
+
 def test_url_filter(spark):
     urls = ["HTTP://WWW.Example.COM/en/1?q#f", "x://example.com/en/", "http://a.example.com/en/x", "http://example.com", "http://b.net/es/1", "nonsense", None, "http://www.spam-farm.example.org/en/1", "http://com/", "http://h.org/a://b?c"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("Rule", F.lit(1))
