@@ -235,6 +235,25 @@ def article_strip(spark, d):
     return docs.select("doc_id", X.strip_article(X.name_key_ascii(F.left("text", F.lit(30)))).alias("article_key"))
 
 
+# The same over whole texts; a text's key is as long as the text, so its digest is what comes out.
+
+
+@query(f"SELECT doc_id, sha256({_SLUG.format('text')}) AS slug_sha256 FROM documents")
+def slug_ascii_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(X.slug_ascii("text"), 256).alias("slug_sha256"))
+
+
+@query(f"SELECT doc_id, sha256({_SLUG.format('strip_accents(text)')}) AS slug_sha256 FROM documents")
+def slug_fold_accents_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(X.slug("text"), 256).alias("slug_sha256"))
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(replace({_SLUG.format('text')}, '-', ' '), '^(the|a|an) ', '')) AS article_key_sha256 FROM documents")
+def article_strip_whole(spark, d):
+    """Keys of the texts of every language."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(X.strip_article(X.name_key_ascii("text")), 256).alias("article_key_sha256"))
+
+
 @query(
     """WITH n AS (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT DISTINCT p_name FROM part)
 SELECT DISTINCT name, CASE WHEN regexp_matches(name, '[A-Za-z]{4}') AND (upper(name) = name OR lower(name) = name)
@@ -452,6 +471,13 @@ def alpha_order_violations(spark, d):
     return timeline.order_violations(docs, ["source"], ["doc_id"], "k")
 
 
+@query("SELECT source, count(*) FILTER (WHERE b IS NOT NULL) AS n_pairs, count(*) FILTER (WHERE k < b) AS n_violations FROM (SELECT source, k, lag(k) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM (SELECT source, doc_id, lower(text) AS k FROM documents)) GROUP BY source HAVING count(*) FILTER (WHERE b IS NOT NULL) > 0")
+def alpha_order_violations_whole(spark, d):
+    """Order violations by whole texts: equal beginnings do not make a pair ordered."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.lower("text").alias("k"))
+    return timeline.order_violations(docs, ["source"], ["doc_id"], "k")
+
+
 @query("SELECT l_orderkey, count(*) AS n_pairs, count(*) FILTER (WHERE l_partkey <= b) AS n_violations FROM (SELECT l_orderkey, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS b FROM lineitem) WHERE b IS NOT NULL GROUP BY l_orderkey")
 def ascending_violations(spark, d):
     return timeline.order_violations(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_suppkey", "l_partkey"], "l_partkey", strict=True)
@@ -655,6 +681,22 @@ def unique_locks(spark, d):
     return grade.unique_locks(docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "a"), docs.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "b"), ["k1", "k2"], "a", "b")
 
 
+_FOLDED = f"CASE WHEN {_SLUG.format('text')} <> '' THEN sha256({_SLUG.format('text')}) END"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id AS a, sha256(text) AS k1, {_FOLDED} AS k2 FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id AS b, sha256(text) AS k1, {_FOLDED} AS k2 FROM documents WHERE doc_id % 2 = 1),
+s0 AS (SELECT a, b FROM (SELECT k1, min(a) AS a FROM l GROUP BY k1 HAVING count(*) = 1) JOIN (SELECT k1, min(b) AS b FROM r GROUP BY k1 HAVING count(*) = 1) USING (k1)),
+s1 AS (SELECT a, b FROM (SELECT k2, min(a) AS a FROM l WHERE a NOT IN (SELECT a FROM s0) GROUP BY k2 HAVING count(*) = 1) JOIN (SELECT k2, min(b) AS b FROM r WHERE b NOT IN (SELECT b FROM s0) GROUP BY k2 HAVING count(*) = 1) USING (k2))
+SELECT a, b, 0 AS stage FROM s0 UNION ALL SELECT a, b, 1 FROM s1"""
+)
+def unique_locks_whole(spark, d):
+    """Locks by whole texts: equal ones, then those equal but for letter case, punctuation and spacing."""
+    slug = X.slug_ascii("text")
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("k1"), F.when(slug != "", F.sha2(slug, 256)).alias("k2"))
+    return grade.unique_locks(docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "a"), docs.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "b"), ["k1", "k2"], "a", "b")
+
+
 @query(
     """WITH l AS (SELECT p_partkey AS a, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 2 = 1), r AS (SELECT p_partkey AS b, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 2 = 0)
 SELECT a, b FROM l JOIN r USING (p_name, n)"""
