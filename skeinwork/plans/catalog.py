@@ -365,6 +365,15 @@ def merge_components(spark, d):
     return resolve.merge_components(a.unionByName(b), "grp", "m")
 
 
+@query()
+def merge_components_whole(spark, d):
+    """Both groupings over all parts. All pairs of a component are too many for SQL; a union-find tests it."""
+    parts = table(spark, d, "part")
+    a = parts.select(F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).alias("grp"), F.col("p_partkey").alias("m"))
+    b = parts.select(F.concat_ws("|", "p_name", F.expr("p_partkey div 400").cast("string")).alias("grp"), F.col("p_partkey").alias("m"))
+    return resolve.merge_components(a.unionByName(b), "grp", "m")
+
+
 @query(
     """WITH e AS (SELECT p_brand || '|' || p_size AS grp, p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN left(p_name, 2) ELSE p_name END AS name, CASE WHEN p_partkey % 6 = 0 THEN [left(p_name, 2), 'x'] ELSE [p_name] END AS al FROM part)
 SELECT grp, bool_or(length(trim(name)) <= 3) AND count(DISTINCT lower(trim(name))) > 1 AND NOT EXISTS (SELECT 1 FROM e a JOIN e b ON a.grp = b.grp AND a.id <> b.id WHERE a.grp = e.grp AND list_contains(list_transform(b.al, lambda x: lower(trim(x))), lower(trim(a.name)))) AS vetoed FROM e GROUP BY grp"""
@@ -454,6 +463,28 @@ def timeline_weave(spark, d):
     return timeline.weave(ranked, placed, "system", "event_id", "event_id")
 
 
+@query(
+    f"""WITH {_RANKED.format("WHERE event_type <> 'click'")}, m AS (SELECT user_id, max(rank) + 1 AS m FROM ranked GROUP BY user_id),
+placed AS (SELECT event_id, CASE WHEN m IS NULL THEN '(undated)' ELSE CAST(e.user_id AS VARCHAR) END AS system, coalesce(e.event_id % (m + 1), 0) AS k FROM events e LEFT JOIN m USING (user_id) WHERE event_type = 'click'),
+a AS (SELECT event_id, CAST(user_id AS VARCHAR) AS system, rank AS k, 1 AS kind FROM ranked UNION ALL SELECT event_id, system, k, 0 FROM placed)
+SELECT event_id, system, CAST(row_number() OVER (PARTITION BY system ORDER BY k, kind, event_id) - 1 AS BIGINT) AS position FROM a"""
+)
+def timeline_weave_whole(spark, d):
+    """Every click is placed; those of a user without dated events stand in the undated system."""
+    every = _dated(spark, d).withColumn("system", F.col("user_id").cast("string"))
+    ranked = timeline.spine(every.where("event_type <> 'click'"), "system", "parts")
+    known = timeline.gaps(ranked, "system")
+    m = ranked.groupBy("system").agg((F.max("rank") + 2).alias("n"))
+    wish = every.where("event_type = 'click'").join(m, "system", "left").select(
+        "event_id",
+        F.when(F.col("n").isNull(), timeline.UNDATED).otherwise(F.col("system")).alias("system"),
+        F.coalesce(F.col("event_id") % F.col("n"), F.lit(0)).alias("gap"),
+        F.col("event_id").alias("placement_pos"),
+    )
+    placed = timeline.valid_placements(wish, known, ranked, "event_id", ["placement_pos"])
+    return timeline.weave(ranked, placed, "system", "event_id", "event_id")
+
+
 @query("SELECT event_id, len(regexp_extract_all(props, '\\d+')) = 0 OR list_has_any([month(ts), day(ts)], list_transform(regexp_extract_all(props, '\\d+'), lambda x: CAST(TRY_CAST(x AS INTEGER) AS BIGINT))) AS usable FROM events")
 def date_guard(spark, d):
     e = table(spark, d, "events")
@@ -515,6 +546,11 @@ def exclusion_validate(spark, d):
     return mask.check_exclusions(files, "source", ["src1", "nowhere"])
 
 
+@query("SELECT source AS name, 'duplicate' AS problem FROM documents GROUP BY source HAVING count(*) > 1 UNION ALL SELECT x, 'unknown' FROM (VALUES ('src1'), ('nowhere')) t(x) WHERE x NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)")
+def exclusion_validate_whole(spark, d):
+    return mask.check_exclusions(table(spark, d, "documents").select("source"), "source", ["src1", "nowhere"])
+
+
 # --- rendering -----------------------------------------------------------------------------------------------------
 
 

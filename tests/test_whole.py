@@ -42,3 +42,39 @@ def test_order_and_locks_of_whole_texts(spark, texts):
     assert (r.n_pairs, r.n_violations) == (5, 1)
     got = {(r.a, r.b, r.stage) for r in catalog.QUERIES["unique_locks_whole"](spark, texts).collect()}
     assert got == {(0, 5, 0), (2, 3, 1)}
+
+
+def test_exclusions_of_every_row(spark, tmp_path):
+    rows = [(k, f"s{k}") for k in range(30)] + [(40, "late"), (41, "late"), (42, "src1")]
+    d = planted(spark, tmp_path, documents=(rows, "doc_id long, source string"))
+    got = {(r.name, r.problem) for r in catalog.QUERIES["exclusion_validate_whole"](spark, d).collect()}
+    assert got == {("late", "duplicate"), ("nowhere", "unknown")}
+
+
+def test_every_event_is_woven(spark, tmp_path):
+    rows = [(k, u, kind, f"2024-01-{day:02d} 00:00:00") for k, u, kind, day in [(1, 7, "view", 2), (2, 7, "view", 5), (3, 7, "click", 1), (6, 7, "click", 1), (8, 7, "click", 9), (9, 8, "click", 1), (10, 8, "click", 1)]]
+    events = spark.createDataFrame(rows, "event_id long, user_id int, event_type string, t string").selectExpr("event_id", "user_id", "event_type", "to_timestamp(t) AS ts")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.system, r.position) for r in catalog.QUERIES["timeline_weave_whole"](spark, str(tmp_path)).collect()}
+    assert got == {3: ("7", 0), 6: ("7", 1), 1: ("7", 2), 2: ("7", 3), 8: ("7", 4), 9: ("(undated)", 0), 10: ("(undated)", 1)}
+
+
+def test_components_of_all_parts_against_union_find(spark):
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    root = {r.p_partkey: r.p_partkey for r in parts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    first = {}
+    for r in parts:
+        for g in ((r.p_brand, r.p_size), (r.p_name, r.p_partkey // 400)):
+            x, y = find(r.p_partkey), find(first.setdefault(g, r.p_partkey))
+            root[max(x, y)] = min(x, y)
+    ends = [find(r.p_partkey) for r in parts]
+    want = {r.p_partkey: (x if 2 <= ends.count(x) <= 8 else r.p_partkey, 2 <= ends.count(x) <= 8) for r, x in zip(parts, ends, strict=True)}
+    got = {r.node: (r.root, r.merged) for r in catalog.QUERIES["merge_components_whole"](spark, sf).collect()}
+    assert got == want and any(r.p_size > 12 for r in parts)
