@@ -83,6 +83,32 @@ def skeleton(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.col(c) if isinstance(c, str) else c), "[^0-9a-z]", "")
 
 
+def skeleton_join(quotes: DataFrame, quote: str, texts: DataFrame, text: str, size: int = 20) -> DataFrame:
+    """All pairs of a quote and a text whose skeletons hold one another; a quote without a skeleton is in none.
+
+    Texts' skeletons are cut into blocks of ``size`` characters. Wherever a quote of 2 * ``size`` - 1 characters or more
+    stands, it covers a whole block, and from there on one at every ``size``-th of its positions. So it is looked up once
+    for each of its first ``size`` positions, by the rarest block that would be there; a start of which one block is in no
+    text is not looked up. Hashes only propose, the skeletons decide. Shorter quotes are held against all texts, as in
+    :func:`containment_join`.
+    """
+    q = quotes.withColumn("__q", skeleton(quote)).where("__q <> ''")
+    t = texts.withColumn("__t", skeleton(text)).withColumn("__k", F.xxhash64("__t"))
+    is_long = F.length("__q") >= 2 * size - 1
+    blocks = t.select("__k", F.explode(F.regexp_extract_all("__t", F.lit(f"(.{{{size}}})"), F.lit(1))).alias("__g"))
+    blocks = blocks.select("__k", F.xxhash64("__g").alias("__g"))
+    at = q.where(is_long).select("__q").distinct().select("__q", F.explode(F.sequence(F.lit(0), F.length("__q") - size)).alias("__p"))
+    wanted = at.select("__q", (F.col("__p") % size).alias("__r"), F.xxhash64(F.substring("__q", F.col("__p") + 1, F.lit(size))).alias("__g"))
+    held = blocks.join(wanted.select("__g").distinct(), "__g", "left_semi").distinct()
+    freq = held.groupBy("__g").agg(F.count("*").alias("__f"))
+    rare = wanted.join(freq, "__g", "left").groupBy("__q", "__r").agg(F.min(F.struct(F.coalesce("__f", F.lit(0)).alias("f"), F.col("__g").alias("g"))).alias("__b"))
+    rare = rare.where("__b.f > 0").select("__q", F.col("__b.g").alias("__g"))
+    found = held.join(rare, "__g").select("__q", "__k").distinct()
+    by_block = q.where(is_long).join(found, "__q").join(t, "__k").where(F.contains("__t", F.col("__q")))
+    by_all = q.where(~is_long).join(t, F.contains("__t", F.col("__q")))
+    return by_block.select(*by_all.columns).unionByName(by_all).drop("__q", "__t", "__k")
+
+
 def cache_misses(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Requests whose key the cache does not hold."""
     return requests.join(cache.select(key), key, "left_anti")

@@ -131,13 +131,9 @@ def quote_triage(spark, d):
     for name, c in forms.items():
         one = b.select("item_id", F.lit(name).alias("form"), c.alias("quote"))
         quotes = one if quotes is None else quotes.unionByName(one)
-    # Skeletons have no words to look up, but the quotes do: grams of letters and digits in lower case propose the pairs.
-    k = quotes.withColumns({"skel": ground.skeleton("quote"), "norm": X.norm_for_match("quote")})
-    low = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "[^0-9A-Za-z ]", ""))
-    t = table(spark, d, "documents").select("text").withColumns({"low": low("text")})
-    pairs = ground.containment_join(k.select("item_id", "form", "skel", "norm", low("quote").alias("lq")), "lq", t, "low")
-    hit = pairs.where((F.col("skel") != "") & F.contains(ground.skeleton("text"), F.col("skel")))
-    hit = hit.groupBy("item_id", "form").agg(F.max(F.contains(X.norm_for_match("text"), F.col("norm"))).alias("here"))
+    k = quotes.withColumn("norm", X.norm_for_match("quote"))
+    pairs = ground.skeleton_join(k, "quote", table(spark, d, "documents").select("text"), "text")
+    hit = pairs.groupBy("item_id", "form").agg(F.max(F.contains(X.norm_for_match("text"), F.col("norm"))).alias("here"))
     out = k.select("item_id", "form").join(hit, ["item_id", "form"], "left")
     return out.select("item_id", "form", F.when(F.col("here").isNull(), "reword").when(F.col("here"), "unknown").otherwise("cosmetic").alias("triage"))
 

@@ -1,9 +1,12 @@
 """Queries over whole texts and whole tables on planted rows that the narrower ones of the same operators cut off."""
 
 import hashlib
+import random
 
+import duckdb
 import pytest
 
+from skeinwork.operators import ground
 from skeinwork.plans import catalog
 
 HEAD = "The same words stand at the head of all of these texts, for more than sixty characters: "
@@ -78,3 +81,43 @@ def test_components_of_all_parts_against_union_find(spark):
     want = {r.p_partkey: (x if 2 <= ends.count(x) <= 8 else r.p_partkey, 2 <= ends.count(x) <= 8) for r, x in zip(parts, ends, strict=True)}
     got = {r.node: (r.root, r.merged) for r in catalog.QUERIES["merge_components_whole"](spark, sf).collect()}
     assert got == want and any(r.p_size > 12 for r in parts)
+
+
+def test_triage_sees_other_word_breaks(spark, tmp_path):
+    texts = [
+        "It was, so they say, a well-known house on the river; nobody had lived there since the flood of that year.",
+        "They sent an e mail to everyone — even to the keeper of the old light—house at the far end of the bay, and waited.",
+        "Send e-mail.",
+        None,
+    ]
+    quotes = [
+        "a well known house on the river; nobody had lived there since the flood",
+        "to the keeper of the old light-house at the far end of the bay",
+        "to the keeper of the old lighthouse at the far end of the bay, and waited",
+        "even to the keeper of the old light — house at the far",
+        "e mail",
+        "send e mail",
+        "nobody had lived there since the flood of that year",
+        "nobody had ever lived there since the flood of that year",
+        "- - -",
+    ]
+    d = planted(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"), benchmark=(list(enumerate(quotes)), "item_id long, text string"))
+    got = {(r.item_id, r.form): r.triage for r in catalog.QUERIES["quote_triage"](spark, d).collect()}
+    assert [got[k, "as is"] for k in range(len(quotes))] == ["cosmetic", "unknown", "cosmetic", "cosmetic", "unknown", "cosmetic", "unknown", "reword", "reword"]
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    assert got == {(k, form): v for k, form, v in con.execute(catalog.SQL["quote_triage"]).fetchall()}
+
+
+def test_skeleton_join_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab- ", k=rng.randint(0, 90))) for _ in range(60)] + ["ab" * 60, "a" * 50]
+    quotes = [t[i : i + rng.randint(1, 30)] for t in texts for i in (0, rng.randint(0, 40))] + ["a" * 45]
+    bare = lambda s: s.replace("-", "").replace(" ", "")
+    want = {(i, k) for i, x in enumerate(quotes) for k, t in enumerate(texts) if bare(x) and bare(x) in bare(t)}
+    q = spark.createDataFrame(list(enumerate(quotes)), "i long, quote string")
+    t = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    for size in (1, 3, 8):
+        rows = ground.skeleton_join(q, "quote", t, "text", size).select("i", "k").collect()
+        assert len(rows) == len(want) and {(r.i, r.k) for r in rows} == want
