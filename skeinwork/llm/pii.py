@@ -14,8 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 128
-#: Code points before a match in which context words count.
+#: Code points on either side of a match in which context words count.
 CONTEXT = 40
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 @dataclass(frozen=True)
@@ -65,6 +72,13 @@ def _iban(m: Column) -> Column:
     return F.length(bare).between(15, 34) & (rest == 1)
 
 
+def _iban_regex() -> str:
+    """As long as its country's are, so that words in capitals after it stay out; other countries' as long as can be."""
+    known = "|".join(c for names in IBAN_LENGTHS.values() for c in names.split())
+    by_length = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{by_length}|(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+
+
 # A match may start after a character of its own class only where the last match ended. The possessive forms match what
 # the plain ones do and neither back up nor recurse, so that long runs stay linear and need no stack.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -76,7 +90,7 @@ BASE_KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone, "phone|call|tel|mobile|fax", 0.6, 0.0, "+"),
 )
 MORE_KINDS = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban, "iban|account|bank|konto|compte|cuenta", 0.7, 0.5),
+    Kind("iban", _iban_regex(), _iban, "iban|account|bank|konto|compte|cuenta", 0.7, 0.5),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: F.lit(True), r"ssn|social|security", 0.3, 0.5, "-"),
 )
 CONTEXT_BOOST = 0.25
@@ -103,10 +117,10 @@ def _ends(steps: Column) -> Column:
 
 
 def _confirmed(matches: Column, kind: Kind, n: int) -> Column:
-    """Spans of the matches (gap before, match, end) that pass the check and reach the least score."""
+    """Spans of the matches (gap before, match, gap after, end) that pass the check and reach the least score."""
 
     def span(x: Column) -> Column:
-        near = F.lower(F.right(x["g"], F.lit(CONTEXT))).rlike(kind.context)
+        near = F.lower(F.right(x["g"], F.lit(CONTEXT))).rlike(kind.context) | F.lower(F.left(x["h"], F.lit(CONTEXT))).rlike(kind.context)
         score = F.least(F.lit(1.0), F.lit(kind.base_score) + F.when(near, F.lit(CONTEXT_BOOST)).otherwise(F.lit(0.0)))
         start = x["e"] - F.length(x["m"])
         return F.struct(start.alias("start"), F.lit(n).alias("ord"), x["e"].alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
@@ -139,7 +153,8 @@ def find_spans(df: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
         out = out.withColumn(f"__s{n}", F.zip_with(gaps, F.col(f"__m{n}"), lambda g, m: (F.length(g) + F.length(m)).cast("bigint")))
         out = out.withColumn(f"__e{n}", F.when(some, _ends(F.col(f"__s{n}"))).otherwise(none.cast("array<bigint>")))
 
-        both = F.arrays_zip(F.slice(F.col(f"__g{n}"), F.lit(1), F.size(f"__m{n}")).alias("g"), F.col(f"__m{n}").alias("m"), F.col(f"__e{n}").alias("e"))
+        after = F.slice(F.col(f"__g{n}"), F.lit(2), F.size(f"__m{n}"))
+        both = F.arrays_zip(F.slice(F.col(f"__g{n}"), F.lit(1), F.size(f"__m{n}")).alias("g"), F.col(f"__m{n}").alias("m"), after.alias("h"), F.col(f"__e{n}").alias("e"))
         found = _confirmed(both, kind, n)
         out = out.withColumn(f"__f{n}", F.when(some, found).otherwise(none.cast(_SPAN)))
     spans = F.array_sort(F.concat(*[F.col(f"__f{n}") for n in range(len(kinds))]))

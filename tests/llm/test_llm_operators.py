@@ -142,6 +142,21 @@ def test_pii_against_brute_force(spark):
     assert pii.find_spans(df.limit(0)).count() == 0
 
 
+def test_iban_ends_and_context_after(spark):
+    texts = [
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX",
+        "GB82 WEST 1234 5698 7654 32 AND NO9386011117947 TODAY",
+        "123-45-6789 is my social security number",
+        "my ssn: 123-45-6789",
+        "123-45-6789 is a part number",
+        "DE89 3704 0044 0532 0130 01 BIC",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [[(s.kind, t[s.start : s.end]) for s in r.pii_spans if s.kind in ("iban", "ssn")] for t, r in zip(texts, pii.find_spans(df).orderBy("doc_id").collect(), strict=True)]
+    ssn = [("ssn", "123-45-6789")]
+    assert got == [[("iban", "DE89 3704 0044 0532 0130 00")], [("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "NO9386011117947")], ssn, ssn, [], []]
+
+
 def test_near_dedup_edges_and_tokens(spark):
     base = [f"w{k}" for k in range(40)]
     texts = TEXTS + [" ".join(base), " ".join([*base[:39], "other"]), " ".join(base).upper(), " ".join(base[:20]), "w0 w1", "W0  w1"]
