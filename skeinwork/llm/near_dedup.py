@@ -311,8 +311,9 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``__set`` (key of a shingle set), ``component_id`` and ``n_first`` (rows that carry that id) for every set that two
-    rows share or that is linked with another."""
+    """``__set`` (key of a shingle set), ``component_id``, ``__root`` (the group's own key: groups of unlike texts may have
+    one id in common) and ``n_first`` (rows of the group that carry that id) for every set that two rows share or that is
+    linked with another."""
     source = docs.select(F.col(id_col), F.col(text_col))
     signed = written(add_by_text(source, text_col, _signatures, _FIELDS, keep=[id_col]), "near-signed")
     some = signed.where("__set is not null")
@@ -324,10 +325,10 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = node_links(nodes, source, id_col, text_col)
     placed = nodes.select("node", "__set", "__id", "n_docs").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("__id").alias("component_id"), F.sum("n_docs").alias("n_group"))
-    classes = placed.join(least.where("n_group > 1"), "root").select("__set", "component_id")
+    classes = placed.join(least.where("n_group > 1"), "root").select("__set", "component_id", F.col("root").alias("__root"))
     first = some.join(classes, "__set").where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    first = first.groupBy(F.col("component_id").alias("__c")).agg(F.count("*").alias("n_first"))
-    return written(classes.join(first, F.col("component_id").eqNullSafe(F.col("__c")), "left").drop("__c"), "near-classes")
+    first = first.groupBy("__root").agg(F.count("*").alias("n_first"))
+    return written(classes.join(first, "__root", "left"), "near-classes")
 
 
 def near_duplicates(
@@ -341,9 +342,9 @@ def near_duplicates(
     only where a group has no other. Rows that repeat an id are rows of their own and all kept if it is the smallest;
     :func:`drop_duplicates` leaves one. An input column with the name of a new one is replaced.
     """
-    classes = duplicate_classes(docs, id_col, text_col) if classes is None else classes
+    classes = duplicate_classes(docs, id_col, text_col).drop("__root") if classes is None else classes
     fields = [T.StructField("__set", T.BinaryType()), T.StructField("n_shingles", T.LongType(), False)]
-    rows = without(docs, ["component_id", "kept", "n_first", "__set"])
+    rows = without(docs, ["component_id", "kept", "n_first", "__root", "__set"])
     rows = add_by_text(rows, text_col, partial(_keys, False), fields, keep=keep or [id_col])
     out = rows.join(classes.withColumn("__in", F.lit(True)), "__set", "left").drop("__set")
     out = out.withColumn("component_id", F.when(F.col("__in"), F.col("component_id")).otherwise(F.col(id_col)))
@@ -357,5 +358,5 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if classes.where("n_first > 1").isEmpty():
         return marked.select(*docs.columns)
     many = F.coalesce(F.col("n_first"), F.lit(1)) > 1
-    again = marked.where(many).dropDuplicates(["component_id"])
+    again = marked.where(many).dropDuplicates(["__root"])
     return marked.where(~many).unionByName(again).select(*docs.columns)

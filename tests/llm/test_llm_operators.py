@@ -170,6 +170,13 @@ def test_near_dedup_edges_and_tokens(spark):
     assert near_dedup.word_hashes(b"b a b")[0] == near_dedup.word_hashes("üü b".encode())[1]
 
 
+def test_groups_with_one_id_in_common_stay_apart(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (2, a + " more"), (1, b), (3, b + " more"), (1, b)]
+    left = near_dedup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, a), (1, b)]
+
+
 def test_odd_sketches_keep_similar_pairs():
     rng = np.random.default_rng(1)
     for n in (8, 60, 700, 9000):
