@@ -49,7 +49,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: MinHash candidates and a trained model have no SQL; a brute-force version tests the rows.
+#: MinHash candidates and a trained model have no SQL; the tests hold the rows against the stages' own rules.
 ORACLE_SQL = None
 
 
