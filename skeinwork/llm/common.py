@@ -64,6 +64,54 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate tables of one operator in the shared folder; all that are not kept are deleted at its end.
+
+    Only tables that no later read needs may go: a lost executor's work is made again from the tables that are left.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for df, _ in list(self.paths.values()):
+            self.drop(df)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`written`; the table goes with this object."""
+        path = shared_dir(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leaves the table of ``df`` in place."""
+        self.paths.pop(id(df))
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its plan has neither enough partitions nor a shuffle: a table of a few files."""
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns named like one of ``names`` in any letter case: results replace them."""
     taken = {n.lower() for n in names}
@@ -86,21 +134,23 @@ def add_by_text(
     names = [f.name for f in fields]
     taken = {n.lower() for n in names}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
-    source = df.select(*[df[c] for c in kept], df[text_col].cast("string").alias("__text"))
+    once = text_col in kept and df.schema[text_col].dataType == T.StringType()
+    source = df.select(*[df[c] for c in kept], *([] if once else [df[text_col].cast("string").alias("__text")]))
+    at = kept.index(text_col) if once else len(kept)
     schema = T.StructType([source.schema[c] for c in kept] + fields)
     types = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = factory()
         for batch in batches:
-            texts = batch.column(len(kept)).cast(pa.binary())
+            texts = batch.column(at).cast(pa.binary())
             for lo, n in _slices(texts):
                 made = compute(texts.slice(lo, n).to_pylist())
                 passed = [batch.column(i).slice(lo, n) for i in range(len(kept))]
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(passed + made, names=[*kept, *names])
 
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:

@@ -15,16 +15,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.common import add_by_text, ascii_lower, without, written
+from skeinwork.llm.common import Tables, add_by_text, ascii_lower, without
 
 WORDS, SIMILAR = 5, 75
 #: 32 bands of 4: a pair at the threshold shares no band with probability (1 - 0.75**4)**32 = 5e-6.
@@ -46,6 +47,9 @@ _ADD = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WHITE, _NEXT_WHITE = b"\t\n\x0b\x0c\r ", re.compile(rb"[\t-\r ]").search
+#: Bytes of a text whose words are hashed at once.
+PIECE = 1 << 17
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,30 +58,49 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << log2
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        a = np.full(n, base, dtype=_U)
-        a[0] = 1
-        out.append(np.cumprod(a, dtype=_U))
-    return out[0], out[1]
+def _cumulated(base: int) -> np.ndarray:
+    a = np.full(PIECE, base, dtype=_U)
+    a[0] = 1
+    return np.cumprod(a, dtype=_U)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    r"""A 64-bit hash of each word ``[^\x20\x09-\x0D]+`` of the lower-cased text, in order."""
-    buf = np.frombuffer(ascii_lower(raw), dtype=np.uint8)
-    n = len(buf)
-    if not n:
-        return np.empty(0, dtype=_U)
-    power, inverse = _powers(max(17, int(n).bit_length()))
+_POWER, _INVERSE = _cumulated(_BASE), _cumulated(pow(_BASE, -1, 1 << 64))
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """``raw`` cut at white space into pieces of ``PIECE`` bytes at most; a longer word is a piece of its own."""
+    lo = 0
+    while len(raw) - lo > PIECE:
+        hi = lo + PIECE
+        if raw[hi] not in _WHITE:
+            hi = max(raw.rfind(c, lo, hi) for c in _WHITE)
+            if hi < 0:
+                end = _NEXT_WHITE(raw, lo + PIECE)
+                hi = end.start() if end else len(raw)
+        yield raw[lo:hi]
+        lo = hi + 1
+    yield raw[lo:]
+
+
+def _piece_hashes(raw: bytes) -> np.ndarray:
+    if len(raw) > PIECE:  # one word
+        return np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), dtype=_U)
+    buf = np.frombuffer(raw, dtype=np.uint8)
     edges = np.flatnonzero(np.diff(_SPACE[buf].view(np.int8), prepend=1, append=1))
     starts, ends = edges[::2], edges[1::2]
-    sums = np.empty(n + 1, dtype=_U)
+    sums = np.empty(len(buf) + 1, dtype=_U)
     sums[0] = 0
-    np.cumsum(_BYTE[buf] * power[:n], out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * inverse[starts])
+    np.cumsum(_BYTE[buf] * _POWER[: len(buf)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * _INVERSE[starts])
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    r"""A 64-bit hash of each word ``[^\x20\x09-\x0D]+`` of the lower-cased text, in order; besides the result, memory
+    follows ``PIECE`` and the longest word."""
+    raw = ascii_lower(raw)
+    if len(raw) <= PIECE:
+        return _piece_hashes(raw) if raw else np.empty(0, dtype=_U)
+    return np.concatenate([_piece_hashes(x) for x in _pieces(raw) if x])
 
 
 def shingles(raw: bytes | None, size: int = WORDS) -> np.ndarray:
@@ -104,11 +127,11 @@ def minhash(items: np.ndarray) -> np.ndarray:
 
 
 def bands(samples: np.ndarray) -> np.ndarray:
-    """One key per band, the band's number folded in."""
-    pairs = samples.astype(_U).reshape(BANDS, ROWS)
-    acc = np.arange(1, BANDS + 1, dtype=_U)
+    """One key per band and text (a row of ``samples``), the band's number folded in."""
+    pairs = samples.astype(_U).reshape(len(samples), BANDS, ROWS)
+    acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), pairs.shape[:2])
     for k in range(ROWS):
-        acc = _mix(acc * _U(_BASE) + pairs[:, k])
+        acc = _mix(acc * _U(_BASE) + pairs[:, :, k])
     return acc.view(np.int64)
 
 
@@ -148,14 +171,18 @@ def _key(items: np.ndarray) -> bytes:
 
 def _signatures() -> Callable:
     def compute(texts: list[bytes | None]) -> list[list]:
-        rows = []
+        rows, samples = [], []
         for raw in texts:
             items = shingles(raw)
             if len(items):
                 own = bin_samples(items)
-                rows.append((len(items), _key(items), bands(minhash(items)), odd_sketch(own), len(own)))
+                samples.append(minhash(items))
+                rows.append([len(items), _key(items), None, odd_sketch(own), len(own)])
             else:
-                rows.append((0, None, None, None, None))
+                rows.append([0, None, None, None, None])
+        keys = iter(bands(np.stack(samples)) if samples else ())
+        for row in rows:
+            row[2] = next(keys) if row[0] else None
         return list(map(list, zip(*rows, strict=True)))
 
     return compute
@@ -191,88 +218,159 @@ def close(n_a, s_a, sketch_a, n_b, s_b, sketch_b) -> np.ndarray:
     return sized & (agree >= want - SIGMAS * np.sqrt(spread))
 
 
-#: Nodes of a band that are held against each other at once, at most about so many on either side.
-BLOCK = 128
+#: Nodes of a band and size class that are held against each other at once, about so many on either side.
+BLOCK = 1024
+#: Nodes that are held against one copy of their pivot, about.
+GROUP = 256
+#: Pairs whose sketches are compared at once.
+_AT_ONCE = 8192
 _PAIRS = "a long, b long"
+#: Sizes of similar sets differ by a factor of 4 / 3 at most, so their classes by 1 at most.
+_CLASS = 1.34
 
 
-def _members(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """node, root, n, s, sketch and bands of an Arrow array of node structs."""
-    flat = [column.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
-    wide = [column.field(k).flatten().to_numpy().reshape(len(column), -1) for k in (4, 5)]
-    return *flat, wide[0], wide[1]
+def _signed(flat: list, wide: list) -> tuple[np.ndarray, ...]:
+    """Numbers as arrays, lists of numbers as rows of a matrix."""
+    return *[x.to_numpy(zero_copy_only=False) for x in flat], *[x.flatten().to_numpy().reshape(len(x), -1) for x in wide]
 
 
-def _node(root: Column) -> Column:
-    return F.struct("node", root.cast("bigint").alias("root"), F.col("n_shingles").alias("n"), F.col("__samples").alias("s"), F.col("__sketch").alias("sketch"), F.col("__bands").alias("bands"))
+def with_pivots(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (node and values) of the pairs (a, b), sorted within partitions by ``a`` and ``part``: the pivot's own row
+    (``b`` null) first, then those held against it. A pivot of many pairs is repeated for every ``GROUP`` of them, so no
+    group grows with the input and no value of a pivot is sent once per pair."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    heads = heads.select("a", "part", F.lit(None).cast("bigint").alias("b"), F.col("a").alias("node"))
+    tails = pairs.select("a", "b").join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b", F.col("b").alias("node"))
+    both = heads.unionByName(tails).join(rows, "node").drop("node")
+    return both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Those of (x, y) node structs that are close."""
+def _close_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of :func:`with_pivots` rows that are close; the last pivot is carried over batches."""
+    pivot = None
     for batch in batches:
-        x, y = _members(batch.column(0)), _members(batch.column(1))
-        ok = close(*x[2:5], *y[2:5])
-        yield pa.RecordBatch.from_arrays([pa.array(x[0][ok]), pa.array(y[0][ok])], names=["a", "b"])
-
-
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close pairs across components of two blocks (band, xs, ys) of a band: each pair in the first band it shares."""
+        a, n, s, sketch = _signed([batch.column("a"), batch.column("n_shingles"), batch.column("__samples")], [batch.column("__sketch")])
+        b = batch.column("b")
+        head = b.is_null().to_numpy(zero_copy_only=False)
+        at = np.cumsum(head) - 1
+        own = np.flatnonzero(head)
+        p_n, p_s, p_sketch = n[own], s[own], sketch[own]
+        if len(at) and at[0] < 0:
+            p_n, p_s, p_sketch = np.append(pivot[0], p_n), np.append(pivot[1], p_s), np.concatenate((pivot[2][None], p_sketch))
+            at = at + 1
+        if len(at):
+            pivot = p_n[-1], p_s[-1], p_sketch[-1].copy()
+        b = b.fill_null(0).to_numpy(zero_copy_only=False)
+        tail = np.flatnonzero(~head)
+        for k in range(0, len(tail), _AT_ONCE):
+            i = tail[k : k + _AT_ONCE]
+            j = at[i]
+            i = i[close(p_n[j], p_s[j], p_sketch[j], n[i], s[i], sketch[i])]
+            yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[i])], names=["a", "b"])
+
+
+def _similar_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As :func:`_close_stars` on full sets."""
+    pivot = None
     for batch in batches:
-        for band, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            x, y = _members(xs.values), _members(ys.values)
-            ok = close(x[2][:, None], x[3][:, None], x[4][:, None], y[2][None], y[3][None], y[4][None])
-            ok &= x[1][:, None] != y[1][None]
-            i, k = np.nonzero(ok)
+        out: tuple[list[int], list[int]] = ([], [])
+        for a, b, items in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("__items"), strict=True):
+            items = np.frombuffer(items.as_buffer(), dtype=_U)
+            if b is None:
+                pivot = items.copy()
+            elif similar(pivot, items):
+                out[0].append(a)
+                out[1].append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+
+def _cell_pairs(x: tuple, y: tuple | None, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Close pairs across components of two cells of a band (of one cell: ``y`` is None), each in the first band it shares."""
+    nodes_a, nodes_b = [], []
+    y, inside = (x, True) if y is None else (y, False)
+    step = max(1, (1 << 20) // max(1, len(x[0])))
+    for lo in range(0, len(y[0]), step):
+        hi = min(lo + step, len(y[0]))
+        low, high = np.minimum(x[2][:, None], y[2][None, lo:hi]), np.maximum(x[2][:, None], y[2][None, lo:hi])
+        ok = (x[1][:, None] != y[1][None, lo:hi]) & (100 * low >= SIMILAR * high)
+        if inside:
+            ok &= np.arange(len(x[0]))[:, None] < np.arange(lo, hi)[None]
+        all_i, all_k = np.nonzero(ok)
+        for at in range(0, len(all_i), _AT_ONCE):
+            i, k = all_i[at : at + _AT_ONCE], all_k[at : at + _AT_ONCE] + lo
+            good = close(x[2][i], x[3][i], x[4][i], y[2][k], y[3][k], y[4][k])
+            i, k = i[good], k[good]
             same = x[5][i] == y[5][k]
             first = x[5][i, same.argmax(axis=1)] == band if len(i) else np.zeros(0, dtype=bool)
             i, k = i[first], k[first]
-            a, b = np.minimum(x[0][i], y[0][k]), np.maximum(x[0][i], y[0][k])
-            pairs = np.unique(np.stack((a, b), axis=1), axis=0)  # both orders of a pair within one block
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            nodes_a.append(np.minimum(x[0][i], y[0][k]))
+            nodes_b.append(np.maximum(x[0][i], y[0][k]))
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *nodes_a]), np.concatenate([none, *nodes_b])
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _cross_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``key`` and ``side``: the nodes of one cell (side 0), then those of another (1), or of one cell that
+    is held against itself (2). Only the first cell is kept, the other streams by."""
+    key, side, band, x = None, 0, 0, []
+
+    def result(y):
+        whole = tuple(np.concatenate(z) for z in zip(*x, strict=True))
+        a, b = _cell_pairs(whole, y, band)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        names = ("node", "root", "n_shingles", "__samples")
+        rows = _signed([batch.column(c) for c in names], [batch.column("__sketch"), batch.column("__bands")])
+        keys, sides, in_band = batch.column("key").to_pylist(), batch.column("side").to_pylist(), batch.column("band").to_pylist()
+        edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or sides[i] != sides[i - 1]), len(keys)]
+        for lo, hi in zip(edges, edges[1:]):  # noqa: B905
+            if lo == hi:
+                continue
+            part = tuple(z[lo:hi] for z in rows)
+            if keys[lo] != key:
+                if side == 2 and x:
+                    yield result(None)
+                key, band, x = keys[lo], in_band[lo], []
+            side = sides[lo]
+            if side == 1:
+                yield result(part)
+            else:
+                x.append(tuple(z.copy() for z in part))
+    if side == 2 and x:
+        yield result(None)
+
+
+def confirm(tables: Tables, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar. The sets are made anew from the texts of these nodes."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(nodes.select("node", "__set", "__id").join(ends, "node", "left_semi"), "near-wanted")
+    wanted = tables.written(nodes.select("node", "__set", "__id").join(ends, "node", "left_semi"), "near-wanted")
     ids = wanted.select(F.col("__id").alias("__want")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
     texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("__want")), "left_semi")
     items = [T.StructField("__set", T.BinaryType()), T.StructField("__items", T.BinaryType())]
     sets = add_by_text(texts, text_col, partial(_keys, True), items, keep=[])
     sets = sets.join(wanted.select("node", "__set"), "__set").dropDuplicates(["node"]).select("node", "__items")
-    sets = written(sets, "near-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("__items").alias("__a"))
-    right = sets.select(F.col("node").alias("b"), F.col("__items").alias("__b"))
+    sets = tables.written(sets, "near-sets")
+    return with_pivots(pairs, sets).mapInArrow(_similar_stars, _PAIRS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "__a", "__b")]
-            ok = [
-                similar(np.frombuffer(x.as_py(), dtype=_U), np.frombuffer(y.as_py(), dtype=_U))
-                for x, y in zip(held[2], held[3], strict=True)
-            ]
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([held[0].filter(mask), held[1].filter(mask)], names=["a", "b"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
+def components(tables: Tables, links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for the nodes of ``links`` (a, b).
 
     Large-star and small-star steps in turn, each written to the shared folder, until nothing changes.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    edges = tables.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "links")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = written(small.where("a <> b").distinct(), "links")
+        was, edges = edges, tables.written(small.where("a <> b").distinct(), "links")
+        tables.drop(was)
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (row.n, row.h):
             break
@@ -281,59 +379,80 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _cross(tables: Tables, members: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
+    """Close pairs across components in the bands that hold two components or more.
+
+    A band's nodes lie in cells: by size class, by component where one fills more than a block, and by hash. Cells meet
+    whose sizes allow a link and which are not of one component alone, so a large group of copies costs its outsiders
+    one comparison each and itself none.
+    """
+    rooted = members.select("node", "band").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    size_class = F.floor(F.log(F.col("n_shingles")) / math.log(_CLASS)).alias("size_class")
+    rest = rooted.join(split, "band").join(signed.select("node", size_class), "node")
+    rest = tables.written(rest, "near-rest")
+    large = rest.groupBy("band", "root").count().where(F.col("count") > BLOCK).select("band", "root", F.col("root").alias("own"))
+    rest = rest.join(large, ["band", "root"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    blocks = rest.groupBy("band", "size_class", "own").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    cell = ["band", "size_class", "own", "block"]
+    rest = rest.join(blocks, cell[:3]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
+    rest = tables.written(rest, "near-cells")
+    cells = rest.select(*cell).distinct()
+    x, y = (cells.select("band", F.struct(*cell[1:]).alias(side)) for side in "xy")
+    meet = x.join(y, "band").where("x <= y AND y.size_class <= x.size_class + 1 AND NOT (x.own = y.own AND x.own >= 0)")
+    meet = meet.select("band", "x", "y", F.concat_ws(":", "band", "x.*", "y.*").alias("key"), (F.col("x") == F.col("y")).alias("same"))
+    first = meet.select("key", F.when(F.col("same"), 2).otherwise(0).alias("side"), "band", "x.*")
+    other = meet.where("NOT same").select("key", F.lit(1).alias("side"), "band", "y.*")
+    rows = first.unionByName(other).join(rest, cell).select("key", "side", "band", "node", "root")
+    rows = rows.join(signed, "node").repartition("key").sortWithinPartitions("key", "side")
+    return rows.mapInArrow(_cross_cells, _PAIRS)
+
+
+def node_links(tables: Tables, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Components of the nodes: ``node`` and ``root`` for every node with a link."""
     exploded = nodes.select("node", F.explode("__bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(exploded.join(shared, "band"), "near-members")  # node, band, a: bands of two nodes or more
+    members = tables.written(exploded.join(shared, "band"), "near-members")  # node, band, a: bands of two nodes or more
+    signed = nodes.select("node", "n_shingles", "__samples", "__sketch", "__bands")
     stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    sides = nodes.select("node", _node(F.lit(0)).alias("x"))
-    stars = stars.join(sides.withColumnRenamed("node", "a"), "a").join(sides.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
-    stars = written(stars.select("x", "y").mapInArrow(_close_pairs, _PAIRS), "near-stars")
-    links = written(confirm(stars, nodes, docs, id_col, text_col), "near-links")
-    found = written(components(links), "near-roots")
-
-    rooted = members.select("node", "band").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
-    split = split.where("lo < hi").select("band", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    rest = rooted.join(split, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rest = rest.join(nodes.select("node", "n_shingles", "__samples", "__sketch", "__bands"), "node")
-    blocks = rest.groupBy("band", "block").agg(F.collect_list(_node(F.col("root"))).alias("xs"))
-    blocks = written(blocks, "near-blocks")
-    other = blocks.select("band", F.col("block").alias("block_y"), F.col("xs").alias("ys"))
-    cross = blocks.join(other, "band").where("block <= block_y").select("band", "xs", "ys").mapInArrow(_block_pairs, _PAIRS)
-    cross = written(cross.join(stars, ["a", "b"], "left_anti"), "near-cross")
+    stars = with_pivots(stars, signed.drop("__bands")).mapInArrow(_close_stars, _PAIRS)
+    stars = tables.written(stars, "near-stars")
+    links = tables.written(confirm(tables, stars, nodes, docs, id_col, text_col), "near-links")
+    found = tables.written(components(tables, links), "near-roots")
+    cross = _cross(tables, members, found, signed)
+    cross = tables.written(cross.join(stars, ["a", "b"], "left_anti"), "near-cross")
     if cross.isEmpty():
         return found
-    more = confirm(cross, nodes, docs, id_col, text_col)
+    more = confirm(tables, cross, nodes, docs, id_col, text_col)
     chains = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(chains.unionByName(more))
+    return components(tables, chains.unionByName(more))
 
 
-def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``__set`` (key of a shingle set), ``component_id``, ``__root`` (the group's own key: groups of unlike texts may have
-    one id in common) and ``n_first`` (rows of the group that carry that id) for every set that two rows share or that is
-    linked with another."""
+def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The sets that two rows share or that are linked with another: ``__set`` (key of a shingle set), ``component_id``,
+    ``__root`` (the group's own key: groups of unlike texts may have one id in common) and ``n_first`` (rows of the group
+    that carry that id); and for each row of ``docs`` its id, ``n_shingles`` and ``__set`` (null for an empty set)."""
     source = docs.select(F.col(id_col), F.col(text_col))
-    signed = written(add_by_text(source, text_col, _signatures, _FIELDS, keep=[id_col]), "near-signed")
-    some = signed.where("__set is not null")
-    nodes = some.groupBy("__set").agg(
-        F.min(id_col).alias("__id"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"),
-        F.first("__bands").alias("__bands"), F.first("__sketch").alias("__sketch"), F.first("__samples").alias("__samples"),
-    )
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    found = node_links(nodes, source, id_col, text_col)
-    placed = nodes.select("node", "__set", "__id", "n_docs").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("__id").alias("component_id"), F.sum("n_docs").alias("n_group"))
-    classes = placed.join(least.where("n_group > 1"), "root").select("__set", "component_id", F.col("root").alias("__root"))
-    first = some.join(classes, "__set").where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    first = first.groupBy("__root").agg(F.count("*").alias("n_first"))
-    return written(classes.join(first, "__root", "left"), "near-classes")
-
-
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, classes: DataFrame | None = None
-) -> DataFrame:
+    with Tables(docs.sparkSession) as tables:
+        signed = tables.written(add_by_text(source, text_col, _signatures, _FIELDS, keep=[id_col]), "near-signed")
+        some = signed.where("__set is not null")
+        nodes = some.groupBy("__set").agg(
+            F.min(id_col).alias("__id"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"),
+            F.first("__bands").alias("__bands"), F.first("__sketch").alias("__sketch"), F.first("__samples").alias("__samples"),
+        )
+        nodes = tables.written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+        found = node_links(tables, nodes, source, id_col, text_col)
+        placed = nodes.select("node", "__set", "__id", "n_docs").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = placed.groupBy("root").agg(F.min("__id").alias("component_id"), F.sum("n_docs").alias("n_group"))
+        classes = placed.join(least.where("n_group > 1"), "root").select("__set", "component_id", F.col("root").alias("__root"))
+        first = some.join(classes, "__set").where(F.col(id_col).eqNullSafe(F.col("component_id")))
+        first = first.groupBy("__root").agg(F.count("*").alias("n_first"))
+        classes = tables.written(classes.join(first, "__root", "left"), "near-classes")
+        rows = tables.written(signed.select(id_col, "n_shingles", "__set"), "near-rows")
+        return tables.keep(classes), tables.keep(rows)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``n_shingles``, ``component_id`` (the smallest id reachable over links, the row's own included) and ``kept``
     (whether that is the row's id) to each row. ``keep``: the input columns to return (the id alone by default).
 
@@ -342,21 +461,27 @@ def near_duplicates(
     only where a group has no other. Rows that repeat an id are rows of their own and all kept if it is the smallest;
     :func:`drop_duplicates` leaves one. An input column with the name of a new one is replaced.
     """
-    classes = duplicate_classes(docs, id_col, text_col).drop("__root") if classes is None else classes
-    fields = [T.StructField("__set", T.BinaryType()), T.StructField("n_shingles", T.LongType(), False)]
-    rows = without(docs, ["component_id", "kept", "n_first", "__root", "__set"])
-    rows = add_by_text(rows, text_col, partial(_keys, False), fields, keep=keep or [id_col])
+    return _placed(docs, id_col, text_col, keep, *duplicate_classes(docs, id_col, text_col)).drop("__root", "n_first")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    if keep and keep != [id_col]:
+        fields = [T.StructField("__set", T.BinaryType()), T.StructField("n_shingles", T.LongType(), False)]
+        rows = without(docs, ["component_id", "kept", "n_first", "__root", "__set"])
+        rows = add_by_text(rows, text_col, partial(_keys, False), fields, keep=keep)
     out = rows.join(classes.withColumn("__in", F.lit(True)), "__set", "left").drop("__set")
     out = out.withColumn("component_id", F.when(F.col("__in"), F.col("component_id")).otherwise(F.col(id_col)))
     return out.drop("__in").withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group; all columns stay."""
-    classes = duplicate_classes(docs, id_col, text_col)
-    marked = near_duplicates(docs, id_col, text_col, keep=docs.columns, classes=classes).where("kept")
+    """``docs`` with one row of each near-duplicate group; all columns stay, whatever their names."""
+    classes, rows = duplicate_classes(docs, id_col, text_col)
+    renamed = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
+    back = [F.col(v).alias(c) for c, v in renamed.items()]
+    marked = _placed(docs.toDF(*renamed.values()), renamed[id_col], renamed[text_col], list(renamed.values()), classes, rows).where("kept")
     if classes.where("n_first > 1").isEmpty():
-        return marked.select(*docs.columns)
+        return marked.select(*back)
     many = F.coalesce(F.col("n_first"), F.lit(1)) > 1
     again = marked.where(many).dropDuplicates(["__root"])
-    return marked.where(~many).unionByName(again).select(*docs.columns)
+    return marked.where(~many).unionByName(again).select(*back)
