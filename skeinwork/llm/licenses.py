@@ -2,8 +2,9 @@
 
 Every template has mandatory key phrases. The index holds, for the word of each key phrase with the highest inverse
 document frequency over the templates, its postings: template, phrase and position. A file looks up those of its words
-that are in the index; each posting gives the place where the template would start, places that agree are one candidate,
-and a candidate counts if all key phrases stand at their relative positions and enough of the template's words do.
+that are in the index; each posting tells where the template would start. The starts that the phrases of a template tell
+are intersected: a candidate is a start that every phrase has a posting for, ``SLACK`` words off at most. It counts if the
+key phrases do stand at those places and enough of the template's words stand near theirs.
 
 A phrase that must stand as it is is a template of one key phrase, so its places come from the same index.
 """
@@ -11,6 +12,7 @@ A phrase that must stand as it is is a template of one key phrase, so its places
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -128,40 +130,39 @@ class Index:
         """Places (first word, label) of the base phrases, and the best score of each label found."""
         if self.rare.isdisjoint(words):
             return [], {}
-        votes: dict[tuple[int, int], set[int]] = defaultdict(set)
+        rare, votes = self.rare, defaultdict(list)
         for i, w in enumerate(words):
-            if w in self.rare:
+            if w in rare:
                 for k, j, at in self.postings[w]:
-                    votes[k, i - at].add(j)
+                    votes[k, j].append(i - at)
         places: list[tuple[int, str]] = []
         best: dict[str, float] = {}
-        starts: dict[int, list[int]] = defaultdict(list)
-        for k, start in votes:
-            starts[k].append(start)
-        for k, found in starts.items():
-            t = self.templates[k]
-            if t.base:
-                for start in found:
-                    if start >= 0 and tuple(words[start : start + len(t.words)]) == t.words:
-                        places.append((start, t.label))
-                        best[t.label] = 1.0
+        for k, t in enumerate(self.templates):
+            told = [votes.get((k, j), []) for j in range(len(t.phrases))]
+            starts = self._candidates(told)
+            if not starts:
                 continue
-            found.sort()
-            for n, start in enumerate(found):
-                if n and start == found[n - 1]:
-                    continue
-                score = self._match(t, words, start)
-                if score >= LEAST_SCORE:
-                    best[t.label] = max(best.get(t.label, 0.0), score)
+            firm = [[x for x in own if _stands(words, p, x)] for own, p in zip(told, t.phrases, strict=True)]
+            if t.base:
+                places += [(x, t.label) for x in firm[0]]
+                best |= {t.label: 1.0} if firm[0] else {}
+            elif all(firm):
+                scores = [self._score(t, words, x) for x in starts if all(_near(own, x) for own in firm)]
+                if scores and max(scores) >= LEAST_SCORE:
+                    best[t.label] = max(best.get(t.label, 0.0), *scores)
         return places, best
 
-    def _match(self, t: Template, words: list[bytes], start: int) -> float:
-        """Share of the template's words found near their places, 0 if a key phrase is not."""
-        for p in t.phrases:
-            lo = max(0, start + p.start - SLACK)
-            hi = min(len(words) - len(p.words), start + p.start + SLACK)
-            if not any(words[i + p.anchor] == p.words[p.anchor] and tuple(words[i : i + len(p.words)]) == p.words for i in range(lo, hi + 1)):
-                return 0.0
+    def _candidates(self, starts: list[list[int]]) -> list[int]:
+        """The starts that a phrase tells and every other phrase has a posting near; each list is in order."""
+        if len(starts) == 1:
+            return starts[0]
+        if not all(starts):
+            return []
+        found = [x for own in starts for x in own if all(_near(other, x) for other in starts if other is not own)]
+        return sorted(set(found))
+
+    def _score(self, t: Template, words: list[bytes], start: int) -> float:
+        """Share of the template's words found near their places."""
         near: dict[bytes, list[int]] = defaultdict(list)
         for i in range(max(0, start - SLACK), min(len(words), start + len(t.words) + SLACK)):
             near[words[i]].append(i - start)
@@ -169,6 +170,17 @@ class Index:
         return hit / len(t.words)
 
 
+def _near(starts: list[int], x: int) -> list[int]:
+    """Those of the sorted starts that are ``SLACK`` words from ``x`` at most."""
+    return starts[bisect_left(starts, x - SLACK) : bisect_right(starts, x + SLACK)]
+
+
+def _stands(words: list[bytes], p: Phrase, start: int) -> bool:
+    """Whether the phrase stands where a template that starts at ``start`` has it."""
+    at = start + p.start
+    return at >= 0 and tuple(words[at : at + len(p.words)]) == p.words
+
+
 _FIELDS = [
     T.StructField("n_words", T.LongType(), False),
     T.StructField("n_base", T.LongType(), False),
