@@ -88,11 +88,16 @@ def shard_rows(
     numbers are dealt out, in steps over many tasks. The numbers, and so the shuffle, depend on the content, ``seed``
     and ``buckets`` alone. An empty table gives none.
     """
+    return _placed(docs, shards, id_col, text_col, seed, buckets, {})
+
+
+def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str, seed: int, buckets: int, more: dict[str, Column]) -> DataFrame:
+    """As :func:`shard_rows`; ``more`` are further columns of the key, which order rows that are equal without them."""
     spark = docs.sparkSession
     body = F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b""))
-    key = [id_col, "size", "text_crc32"]
-    rows = docs.select(F.col(id_col), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"))
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    key = [id_col, "size", "text_crc32", *more]
+    rows = docs.select(F.col(id_col), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"), *[x.alias(c) for c, x in more.items()])
+    bucket = F.pmod(F.xxhash64(*key[:3]), F.lit(buckets)).cast("int")
     same = written(rows.groupBy(*key).agg(F.count("*").alias("__n")).withColumn("__bucket", bucket), "shard-rows")
     counts = {r["__bucket"]: r["n"] for r in same.groupBy("__bucket").agg(F.sum("__n").alias("n")).collect()}  # <= buckets rows
     total, starts = 0, []
@@ -125,13 +130,24 @@ def row_numbers(places: DataFrame, n: int, shards: int = 8, seed: int = 20240) -
     return permute(out, "row_no", n, seed, longest_walk(spark, n, seed, unfeistel), unfeistel)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 20240) -> None:
-    """Writes id, text and slot to ``path``/shard=K, each shard's files in slot order."""
-    placed = shard_rows(docs, shards, id_col, text_col, seed)
-    body = F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b""))
-    keyed = docs.select(
-        F.col(id_col), F.col(text_col), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32")
-    ).dropDuplicates([id_col, "size", "text_crc32"])
-    same = placed[id_col].eqNullSafe(keyed[id_col]) & (placed.size == keyed.size) & (placed.text_crc32 == keyed.text_crc32)
-    rows = placed.join(keyed, same).select(keyed[id_col], keyed[text_col], placed.shard, placed.slot)
-    rows.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+#: Rows of a file of :func:`write_shards`, about.
+ROWS_A_FILE = 1 << 20
+
+
+def write_shards(
+    docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 20240, rows_a_file: int = ROWS_A_FILE
+) -> None:
+    """Writes id, text and slot to ``path``/shard=K, each shard's files in slot order, at the places of :func:`shard_rows`.
+
+    Texts are told apart by SHA-256, so rows equal in id, size and crc32 keep their own texts. Null ids and texts are
+    written as they are; an empty table writes no rows.
+    """
+    digest = F.sha2(F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b"")), 256)
+    key = {"__digest": digest, "__null": F.col(text_col).isNull()}
+    placed = _placed(docs, shards, id_col, text_col, seed, BUCKETS, key)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col), digest.alias("__text_digest"), F.col(text_col).isNull().alias("__text_null"))
+    texts = texts.dropDuplicates(["__id", "__text_digest", "__text_null"])
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__text_digest")) & (F.col("__null") == F.col("__text_null"))
+    rows = placed.join(texts, same).select(id_col, text_col, "shard", "slot")
+    files = shards * max(1, -(-docs.count() // (shards * rows_a_file)))
+    rows.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
