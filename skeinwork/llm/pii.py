@@ -96,24 +96,27 @@ MORE_KINDS = (
 CONTEXT_BOOST = 0.25
 
 
-def _ends(steps: Column) -> Column:
-    """Running sums of an array of longs, in blocks."""
-    n = F.size(steps)
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of ``op`` (0 is neutral for it) over an array of longs, in blocks."""
+    n, zero = F.size(values), F.lit(0).cast("bigint")
     blocks = F.when(n == 0, F.expr("array()").cast("array<array<bigint>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda k: F.slice(steps, k * _BLOCK + 1, _BLOCK))
+        F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda k: F.slice(values, k * _BLOCK + 1, _BLOCK))
     )
-    start = F.array(F.lit(0).cast("bigint"))
 
     def push(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(F.element_at(acc, -1) + x))
+        return F.concat(acc, F.array(op(F.element_at(acc, -1), x)))
 
-    offsets = F.aggregate(blocks, start, lambda acc, b: push(acc, F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x)))
-    sums = F.zip_with(
+    offsets = F.aggregate(blocks, F.array(zero), lambda acc, b: push(acc, F.aggregate(b, zero, op)))
+    runs = F.zip_with(
         blocks,
         F.slice(offsets, F.lit(1), F.size(blocks)),
         lambda b, o: F.slice(F.aggregate(b, F.array(o), push), F.lit(2), F.size(b)),
     )
-    return F.when(n == 0, F.expr("array()").cast("array<bigint>")).otherwise(F.flatten(sums))
+    return F.when(n == 0, F.expr("array()").cast("array<bigint>")).otherwise(F.flatten(runs))
+
+
+def _ends(steps: Column) -> Column:
+    return _running(steps, lambda s, x: s + x)
 
 
 def _confirmed(matches: Column, kind: Kind, n: int) -> Column:
@@ -170,24 +173,28 @@ def count_of(kind: str) -> Column:
     return F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("bigint")
 
 
+#: Code points of a text that are looked up together when it is taken apart.
+_PAGE = 4096
+
+
 def redact(df: DataFrame, text_col: str = "text", placeholder: str = "<PII>") -> DataFrame:
-    """The text with each stretch that ``pii_spans`` cover replaced by ``placeholder``; a null text stays null."""
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        wide = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        inside = (F.size(acc) > 0) & (s["start"] < F.get(acc, F.size(acc) - 1)["end"])
-        return F.when(inside, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wide))).otherwise(F.concat(acc, F.array(one)))
-
-    start = F.expr("array()").cast("array<struct<start:bigint,end:bigint>>")
-    out = df.withColumn("__cut", F.when(F.size("pii_spans") > 0, F.aggregate("pii_spans", start, merge)).otherwise(start))
-    n = F.size("__cut")
-
-    def part(k: Column) -> Column:
-        lo = F.when(k == 0, F.lit(0)).otherwise(F.get("__cut", k - 1)["end"])
-        hi = F.when(k == n, F.length(text_col)).otherwise(F.get("__cut", k)["start"])
-        return F.substring(F.col(text_col), (lo + 1).cast("int"), (hi - lo).cast("int"))
-
-    cleaned = F.array_join(F.transform(F.sequence(F.lit(0), n), part), placeholder)
-    return out.withColumn(text_col, F.when(n > 0, cleaned).otherwise(F.col(text_col))).drop("__cut")
+    """The text with each stretch that ``pii_spans`` cover replaced by ``placeholder``; a null text stays null.
+
+    Spans that overlap make one stretch. The text is taken apart by pages, so the work follows its length plus the
+    number of spans.
+    """
+    text = F.col(text_col)
+    out = df.withColumn("__to", _running(F.transform("pii_spans", lambda s: s["end"]), lambda m, x: F.greatest(m, x)))
+    out = out.withColumn("__pages", F.when(F.size("pii_spans") > 0, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_PAGE}}}"), F.lit(0))))
+
+    def between(lo: Column, hi: Column) -> Column:
+        first, last = F.floor(lo / _PAGE).cast("int"), F.floor(F.greatest(hi - 1, lo) / _PAGE).cast("int")
+        joined_pages = F.array_join(F.slice(F.col("__pages"), first + 1, last - first + 1), "")
+        return F.substring(joined_pages, (lo - first * _PAGE + 1).cast("int"), (hi - lo).cast("int"))
+
+    def part(s: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.lit(0).cast("bigint")).otherwise(F.get(F.col("__to"), k - 1))
+        return F.when(s["start"] >= before, F.concat(between(before, s["start"]), F.lit(placeholder))).otherwise(F.lit(""))
+
+    cleaned = F.concat(F.array_join(F.transform("pii_spans", part), ""), between(F.element_at("__to", -1), F.length(text).cast("bigint")))
+    return out.withColumn(text_col, F.when(F.size("pii_spans") > 0, cleaned).otherwise(text)).drop("__to", "__pages")
