@@ -344,7 +344,7 @@ def _cross_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirm(tables: Tables, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar. The sets are made anew from the texts of these nodes."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = tables.written(nodes.select("node", "__set", "__id").join(ends, "node", "left_semi"), "near-wanted")
     ids = wanted.select(F.col("__id").alias("__want")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
@@ -356,25 +356,32 @@ def confirm(tables: Tables, pairs: DataFrame, nodes: DataFrame, docs: DataFrame,
     return with_pivots(pairs, sets).mapInArrow(_similar_stars, _PAIRS)
 
 
+#: Rows of a file of an intermediate table, about.
+ROWS_A_FILE = 1 << 19
+
+
 def components(tables: Tables, links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for the nodes of ``links`` (a, b).
 
-    Large-star and small-star steps in turn, each written to the shared folder, until nothing changes.
+    Large-star and small-star steps in turn, each written to the shared folder, until every node has one link and no
+    node with a link is another's end.
     """
     edges = tables.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    mark = None
     while True:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("n"), F.lit(False).alias("root"))
+        ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("n"), F.lit(True).alias("root")))
+        ends = ends.groupBy("node").agg(F.sum("n").alias("n"), F.max("root").alias("root"))
+        state = ends.agg(F.count_if((F.col("n") > 1) | ((F.col("n") == 1) & F.col("root"))).alias("open"), F.sum("n").alias("n")).first()
+        if not state["open"]:
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        was, edges = edges, tables.written(small.where("a <> b").distinct(), "links")
+        small = small.where("a <> b").distinct().coalesce(1 + state["n"] // ROWS_A_FILE)
+        was, edges = edges, tables.written(small, "links")
         tables.drop(was)
-        row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (row.n, row.h):
-            break
-        mark = (row.n, row.h)
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
@@ -396,7 +403,6 @@ def _cross(tables: Tables, members: DataFrame, found: DataFrame, signed: DataFra
     blocks = rest.groupBy("band", "size_class", "own").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     cell = ["band", "size_class", "own", "block"]
     rest = rest.join(blocks, cell[:3]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
-    rest = tables.written(rest, "near-cells")
     cells = rest.select(*cell).distinct()
     x, y = (cells.select("band", F.struct(*cell[1:]).alias(side)) for side in "xy")
     meet = x.join(y, "band").where("x <= y AND y.size_class <= x.size_class + 1 AND NOT (x.own = y.own AND x.own >= 0)")
@@ -408,24 +414,42 @@ def _cross(tables: Tables, members: DataFrame, found: DataFrame, signed: DataFra
     return rows.mapInArrow(_cross_cells, _PAIRS)
 
 
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose ends are not of one component."""
+    for side in "ab":
+        roots = found.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(roots, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.where("root_a <> root_b").select("a", "b")
+
+
 def node_links(tables: Tables, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Components of the nodes: ``node`` and ``root`` for every node with a link."""
+    """Components of the nodes: ``node`` and ``root`` for every node with a link.
+
+    Three passes, each over what the ones before left apart: every node against the least of its bands' pivots, against
+    the pivots of its other bands, and against the nodes of other components in its bands.
+    """
     exploded = nodes.select("node", F.explode("__bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = tables.written(exploded.join(shared, "band"), "near-members")  # node, band, a: bands of two nodes or more
     signed = nodes.select("node", "n_shingles", "__samples", "__sketch", "__bands")
-    stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    stars = with_pivots(stars, signed.drop("__bands")).mapInArrow(_close_stars, _PAIRS)
-    stars = tables.written(stars, "near-stars")
-    links = tables.written(confirm(tables, stars, nodes, docs, id_col, text_col), "near-links")
-    found = tables.written(components(tables, links), "near-roots")
-    cross = _cross(tables, members, found, signed)
-    cross = tables.written(cross.join(stars, ["a", "b"], "left_anti"), "near-cross")
-    if cross.isEmpty():
-        return found
-    more = confirm(tables, cross, nodes, docs, id_col, text_col)
-    chains = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(tables, chains.unionByName(more))
+    pivots = members.where("node <> a").select("a", F.col("node").alias("b"))
+
+    def close_to_pivots(pairs: DataFrame) -> DataFrame:
+        return tables.written(with_pivots(pairs, signed.drop("__bands")).mapInArrow(_close_stars, _PAIRS), "near-stars")
+
+    def joined_by(found: DataFrame, pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return found
+        chains = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return components(tables, chains.unionByName(confirm(tables, pairs, nodes, docs, id_col, text_col)))
+
+    none = nodes.sparkSession.createDataFrame([], "node long, root long")
+    stars = close_to_pivots(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    found = joined_by(none, stars)
+    more = close_to_pivots(_across(pivots.distinct(), found).join(stars, ["a", "b"], "left_anti"))
+    found = joined_by(found, more)
+    cross = _cross(tables, members, found, signed).join(stars.unionByName(more), ["a", "b"], "left_anti")
+    return joined_by(found, tables.written(cross, "near-cross"))
 
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
