@@ -2,9 +2,12 @@
 
 A sequence of tokens is the BPE encoding of its bytes exactly if the merges leave every pair of neighbours as it is.
 So encoding is a nondeterministic finite-state transducer: it walks a trie of the tokens, and where a token ends that
-may follow the last one, it may emit it and start anew. Determinising it gives states that are sets of such hypotheses
-with the tokens each has not yet emitted; what all hypotheses agree on is emitted at once, so tokens come after a
-bounded lookahead. States and transitions are only made when a text reaches them.
+may follow the last one, it may emit it and start anew. Determinising it gives states that are sets of such hypotheses:
+the last token and the place in the trie. States and transitions are only made when a text reaches them.
+
+A prefix has one encoding, so in every state one hypothesis at most stands at the trie's root; its last token is the
+state's output, the token that ends here if a token does. What all hypotheses trace back to is certain: it is emitted
+after a bounded lookahead, and the rest at the end.
 
 Decoding joins token bytes through a state machine of UTF-8 that holds back an unfinished character.
 """
@@ -25,11 +28,18 @@ from pyspark.sql import types as T
 
 from skeinwork.llm.common import add_by_text
 
-#: Bounds of what a worker keeps; when one is reached, that store starts anew.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 120_000, 300_000, 150_000
+#: Bounds of what a worker keeps: states of the transducer, pairs of tokens, and bytes of chunks with their ids.
+MAX_STATES, MAX_PAIRS, MAX_CHUNK_BYTES = 250_000, 300_000, 24 << 20
+#: Bytes after which what is certain by then is emitted.
+LOOKAHEAD = 1 << 10
+#: Tokens that are decoded at once.
+DECODE_AT_ONCE = 1 << 12
 #: A vocabulary beyond so many bytes is refused: it is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 _NONE = 1 << 60
+#: A hypothesis is one number: the last token above these bits, the trie's node in them.
+_SHIFT = 24
+_NODE = (1 << _SHIFT) - 1
 #: Fixed value: the public pattern for which texts may be cut at single spaces; others are matched over whole texts.
 SPACE_PREFIX_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -43,6 +53,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
+class State(dict):
+    """A state of the determinised transducer: its hypotheses, its output, and the next state by byte as far as known."""
+
+    __slots__ = ("machine", "members", "output")
+
+    def __init__(self, machine: Transducer, members: tuple[int, ...], output: int) -> None:
+        self.machine, self.members, self.output = machine, members, output
+
+    def __missing__(self, byte: int) -> State:
+        return self.machine.next(self, byte)
+
+
 class Transducer:
     """Encodes byte strings by ``ranks``."""
 
@@ -51,31 +73,34 @@ class Transducer:
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}
         self.token_at: dict[int, int] = {}
-        nodes = 1
+        self.depth, self.inner = [0], {0}
         for token, rank in ranks.items():
             at = 0
             for b in token:
                 to = self.child.get(at << 8 | b)
                 if to is None:
-                    to = self.child[at << 8 | b] = nodes
-                    nodes += 1
+                    to = self.child[at << 8 | b] = len(self.depth)
+                    self.depth.append(self.depth[at] + 1)
+                    self.inner.add(at)
                 at = to
             self.token_at[at] = rank
-        self.parts: dict[int, tuple[list[bytes], list[bytes]] | None] = {}
+        self.size_of = {r: len(t) for r, t in self.bytes_of.items()}
+        self.parts: dict[int, tuple[list, list, bool] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.states: dict[tuple, int] = {}
-        self.members: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._state(((-1, 0, ()),))
-
-    def _state(self, members: tuple) -> int:
-        k = self.states.get(members)
-        if k is None:
-            if len(self.members) >= self.max_states:
-                return -1
-            k = self.states[members] = len(self.members)
-            self.members.append(members)
-        return k
+        self.states: dict[tuple[int, ...], State] = {}
+        self.first = State(self, (0,), -1)  # no last token, at the root
+
+    def next(self, state: State, byte: int) -> State:
+        """The state after ``byte``, made on the first visit; beyond ``max_states`` new ones are not kept."""
+        members, output = self._move(state.members, byte)
+        to = self.states.get(members)
+        if to is None:
+            to = State(self, members, output)
+            if len(self.states) >= self.max_states:
+                return to
+            self.states[members] = to
+        state[byte] = to
+        return to
 
     def merged(self, parts: list[bytes]) -> list[bytes]:
         """The merges applied to a short string, lowest rank first: what compiles tokens and pairs."""
@@ -142,28 +167,50 @@ class Transducer:
                         return False
         return True
 
-    def _move(self, members: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        """One step of the subset construction: the next hypotheses and the tokens that are certain by now."""
-        made = []
-        for last, node, out in members:
+    def _move(self, members: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], int]:
+        """One step of the subset construction: the next hypotheses, and the token that ends here (-1: none does).
+
+        A hypothesis is the number of its last token plus one, shifted, and its node. A node without children is left
+        out: only the token that ends there went on from it.
+        """
+        made, output = [], -1
+        for x in members:
+            last, node = x >> _SHIFT, x & _NODE
             to = self.child.get(node << 8 | byte)
             if to is None:
                 continue
-            made.append((last, to, out))
-            token = self.token_at.get(to)
-            if token is not None and self._follows(last, token):
-                made.append((token, 0, (*out, token)))
-        if not made:
+            if to in self.inner:
+                made.append(last << _SHIFT | to)
+            if output < 0:
+                token = self.token_at.get(to)
+                if token is not None and self._follows(last - 1, token):
+                    output = token
+        if output >= 0:
+            made.append((output + 1) << _SHIFT)
+        elif not made:
             raise ValueError(f"no token covers byte {byte}")
-        first = made[0][2]
-        if first:
-            n = min(len(out) for _, _, out in made)
-            while any(out[:n] != first[:n] for _, _, out in made):
-                n -= 1
-            if n:
-                return tuple(sorted([(last, node, out[n:]) for last, node, out in made])), first[:n]
         made.sort()
-        return tuple(made), ()
+        return tuple(made), output
+
+    def _settled(self, path: list[State]) -> int:
+        """How many of the bytes read are covered by tokens that all hypotheses share. ``path``: the state after each."""
+        size_of, depth = self.size_of, self.depth
+        starts = {len(path) - depth[x & _NODE] for x in path[-1].members}
+        while len(starts) > 1:
+            k = max(starts)
+            starts.remove(k)
+            starts.add(k - size_of[path[k - 1].output])
+        return starts.pop()
+
+    def _traced(self, path: list[State], k: int) -> list[int]:
+        """The tokens of the first ``k`` bytes."""
+        size_of, out = self.size_of, []
+        while k:
+            token = path[k - 1].output
+            out.append(token)
+            k -= size_of[token]
+        out.reverse()
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of a piece; a piece that is a token itself is that token.
@@ -173,23 +220,19 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, members, out, moves = 0, self.members[0], [], self.moves
-        for b in piece:
-            move = moves.get(state << 8 | b) if state >= 0 else None
-            if move is None:
-                members, sure = self._move(self.members[state] if state >= 0 else members, b)
-                to = self._state(members)
-                if state >= 0 and to >= 0:
-                    moves[state << 8 | b] = (to, sure)
-                state = to
-            else:
-                state, sure = move
-            if sure:
-                out += sure
-        for _, node, rest in self.members[state] if state >= 0 else members:
-            if node == 0:
-                return [*out, *rest]
-        raise ValueError("the vocabulary lacks single bytes")
+        state, out, path = self.first, [], []
+        put = path.append
+        for lo in range(0, len(piece), LOOKAHEAD):
+            for b in piece[lo : lo + LOOKAHEAD]:
+                state = state[b]
+                put(state)
+            if lo + LOOKAHEAD < len(piece):
+                k = self._settled(path)
+                out += self._traced(path, k)
+                del path[:k]
+        if path and path[-1].output < 0:
+            raise ValueError("the vocabulary lacks single bytes")
+        return out + self._traced(path, len(path))
 
 
 class StreamDecoder:
@@ -216,29 +259,37 @@ def token_table(ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class _Chunks(dict):
-    """Packed ids of chunks met before; a new one is encoded on the way. Of two generations of ``MAX_PIECES`` the older
-    one goes when the younger is full, so that frequent chunks stay."""
+    """Packed ids of chunks met before; a new one is encoded on the way. Of two generations of ``limit`` bytes each the
+    older one goes when the younger is full, so that frequent chunks stay. Long chunks are not kept."""
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
+    def __init__(self, encode: Callable[[str], bytes], limit: int = MAX_CHUNK_BYTES) -> None:
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.limit, self.held = encode, {}, limit, 0
 
     def __missing__(self, chunk: str) -> bytes:
         packed = self.older.get(chunk)
         if packed is None:
             packed = self.encode(chunk)
-        if len(self) >= MAX_PIECES:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = packed
+        size = _ENTRY_BYTES + len(chunk) + len(packed)
+        if size <= self.limit >> 8:
+            if self.held + size > self.limit:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[chunk] = packed
+            self.held += size
         return packed
 
 
+#: Bytes that an entry of a store takes besides its texts, about.
+_ENTRY_BYTES = 160
+
+
 class Codec:
     """A pattern, a transducer and a decoder with a bounded store of chunks met before.
 
-    No match of the pattern goes on over a single space between two other characters: the space starts the next one.
-    So a text where every space is such a space is cut there, and only chunks not met before are matched.
+    No match of the pattern goes on over a single space between two other characters: the space starts the next one. A
+    single line end between two others is a match of its own. So a text where all white space is of that kind is cut
+    there, and only chunks not met before are matched.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
@@ -247,9 +298,9 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.tokens = token_table(ranks)
-        self.pieces, self.first = _Chunks(self._piece), _Chunks(self._pieces)
-        self.inner = _Chunks(self._inner)
+        self.pieces, self.inner = _Chunks(self._piece), _Chunks(self._inner, 2 * MAX_CHUNK_BYTES)
         self.cut_at_spaces = pattern == SPACE_PREFIX_PATTERN
+        self.line_end = self._piece("\n") if self.cut_at_spaces else b""
 
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
@@ -268,12 +319,16 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not self.cut_at_spaces:
+        if not self.cut_at_spaces or not text:
             return self._pieces(text)
-        chunks = text.split(" ")
-        if not text or text[0].isspace() or text[-1].isspace() or _NOT_CUT(text):
-            return b"".join(self._runs(chunks))
-        return self.first[chunks[0]] + b"".join(map(self.inner.__getitem__, chunks[1:]))
+        if text[0].isspace() or text[-1].isspace() or _NOT_CUT(text):
+            return b"".join(self._runs(text.split(" ")))
+        inner = self.inner.__getitem__
+        lines = []
+        for line in text.split("\n"):
+            chunks = line.split(" ")
+            lines.append(self._pieces(chunks[0]) + b"".join(map(inner, chunks[1:])))
+        return self.line_end.join(lines)
 
     def _runs(self, chunks: list[str]) -> Iterable[bytes]:
         """As above where some spaces stand beside other white space: those are not cut at."""
@@ -287,13 +342,16 @@ class Codec:
         yield self._run(run, spaced)
 
     def _run(self, run: list[str], spaced: bool) -> bytes:
-        if len(run) > 1:
+        if len(run) > 1 or not spaced:
             return self._pieces(" " * spaced + " ".join(run))
-        return self.inner[run[0]] if spaced else self.first[run[0]]
+        return self.inner[run[0]]
 
-    def decode(self, packed: bytes) -> str:
-        one = StreamDecoder(self.tokens)
-        return one.feed(np.frombuffer(packed, dtype="<u4").tolist()) + one.end()
+    def decode(self, packed: bytes) -> Iterable[str]:
+        """The text in parts, as a stream of ids gives it."""
+        one, ids = StreamDecoder(self.tokens), np.frombuffer(packed, dtype="<u4")
+        for k in range(0, len(ids), DECODE_AT_ONCE):
+            yield one.feed(ids[k : k + DECODE_AT_ONCE].tolist())
+        yield one.end()
 
 
 _MARKS = ",.;:!?"
@@ -332,7 +390,10 @@ def _factory(ranks: _Shared, pattern: str, with_ids: bool) -> Callable:
             packed = codec.encode((raw or b"").decode("utf-8", "replace"))
             n.append(len(packed) // 4)
             digests.append(hashlib.sha256(packed).hexdigest())
-            decoded.append(hashlib.sha256(codec.decode(packed).encode("utf-8")).hexdigest())
+            digest = hashlib.sha256()
+            for part in codec.decode(packed):
+                digest.update(part.encode("utf-8"))
+            decoded.append(digest.hexdigest())
             if with_ids:
                 ids.append(np.frombuffer(packed, dtype="<u4").astype(np.int32))
         return [n, digests, decoded, *([ids] if with_ids else [])]
