@@ -19,11 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.common import add_by_text
+from skeinwork.llm.common import Tables, add_by_text
 from skeinwork.llm.near_dedup import word_hashes
 
 #: Labelled rows that the model is fit on at most: those with the smallest hash of their id.
 MAX_TRAIN_ROWS = 8000
+#: Bytes of text of those rows at most: rows beyond it in that order are left out. Features take about as much.
+MAX_TRAIN_BYTES = 128 << 20
+#: Labelled rows with a longer text are not trained on.
+MAX_TRAIN_TEXT = 1 << 20
 HASH_BITS = 18
 #: Shares of the text, as powers of a half, at which a shape n-gram makes another indicator.
 LEVELS = 7
@@ -36,21 +40,20 @@ _CLASS = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A else 0x3
 _HIGH = bytes(range(128, 256))
 
 
-@lru_cache(maxsize=1 << 16)
-def _shape(word: bytes) -> bytes:
-    """Runs of one class collapsed, sixteen runs at most."""
-    out = bytearray()
-    for b in word:
-        if not out or out[-1] != b:
-            out.append(b)
-            if len(out) == 16:
-                break
-    return bytes(out)
+def shapes(raw: bytes) -> list[bytes]:
+    """The shape of each word: letters and digits by class, runs of one character collapsed."""
+    buf = np.frombuffer(raw.translate(_CLASS, _HIGH), dtype=np.uint8)
+    return buf[np.flatnonzero(np.diff(buf.astype(np.int16), prepend=-1))].tobytes().split()
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(name: bytes) -> int:
-    return zlib.crc32(name) % _DIM
+def _slots(name: bytes) -> tuple[int, ...]:
+    """The dimensions of a shape n-gram, one per level."""
+    return tuple(zlib.crc32(b"%s@%d" % (name, level)) % _DIM for level in range(LEVELS))
+
+
+#: Names up to this length are kept with their dimensions.
+_SHORT = 48
+_known_slots = lru_cache(maxsize=1 << 15)(_slots)
 
 
 def features(raw: bytes | None) -> np.ndarray:
@@ -60,16 +63,16 @@ def features(raw: bytes | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, dtype=np.int32)
-    shaped = list(map(_shape, raw.translate(_CLASS, _HIGH).split()))
+    shaped = shapes(raw)
     counts: Counter[bytes] = Counter(shaped)
     for pair, k in Counter(zip(shaped, shaped[1:])).items():  # noqa: B905
         counts[b"%s %s" % pair] += k
     counts[b"=="] = sum(map(bytes.__eq__, words, words[1:]))
-    named = []
+    named: list[int] = []
     for name, k in counts.items():
-        for level in range(LEVELS):
-            if k << level >= n:
-                named.append(_slot(b"%s@%d" % (name, level)))
+        level = (-(-n // k) - 1).bit_length() if k else LEVELS  # the least one with k << level >= n
+        if level < LEVELS:
+            named += (_known_slots if len(name) <= _SHORT else _slots)(name)[level:]
     hashed = word_hashes(raw)
     pairs = hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashed[1:]
     wide = np.concatenate((hashed, pairs ^ (pairs >> np.uint64(29)))) & np.uint64(_DIM - 1)
@@ -183,8 +186,8 @@ def _training(texts: list[bytes | None]) -> list[list]:
     return [[features(x) for x in texts]]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Fitted:
-    """Fits on at most ``max_rows`` labelled documents that are not held out.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES) -> Fitted:
+    """Fits on at most ``max_rows`` labelled documents that are not held out, with ``max_bytes`` of text together.
 
     Of several labels of an id the larger one counts, null labels none; of several texts of an id each counts. The rows
     are those with the smallest hash of the id, so the sample doesn't follow the layout of the input.
@@ -192,13 +195,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     some = some.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     some = some.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col)).join(F.broadcast(some), "__id")
-    field = T.StructField("__dims", T.ArrayType(T.IntegerType()), False)
-    rows = add_by_text(rows, text_col, lambda: _training, [field], keep=["__id", "__y"])
-    rows = rows.orderBy(F.xxhash64("__id"), "__id", "__dims").limit(max_rows)
-    found = rows.select("__y", "__dims").toArrow()
-    dims = [np.asarray(x.as_py() or [], dtype=np.int64) for x in found.column("__dims")]
-    return fit(dims, found.column("__y").to_pylist())
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(some), "__id")
+    size = F.coalesce(F.octet_length("__text"), F.lit(0)).alias("__size")
+    place = [F.xxhash64("__id"), F.col("__id"), F.xxhash64("__text")]
+    with Tables(docs.sparkSession) as tables:
+        rows = tables.written(rows.where(F.coalesce(F.octet_length("__text"), F.lit(0)) <= MAX_TRAIN_TEXT), "train-rows")
+        sizes = [r["__size"] for r in rows.orderBy(*place).select(size).limit(max_rows).collect()]
+        n = int((np.cumsum(sizes) <= max_bytes).sum()) if sizes else 0
+        field = T.StructField("__dims", T.ArrayType(T.IntegerType()), False)
+        chosen = rows.orderBy(*place).limit(n).withColumn("__h", F.xxhash64("__text"))
+        found = add_by_text(chosen, "__text", lambda: _training, [field], keep=["__id", "__y", "__h"]).toArrow()
+    found = found.sort_by([("__id", "ascending"), ("__h", "ascending")])
+    return fit([np.asarray(x.as_py() or [], dtype=np.int64) for x in found.column("__dims")], found.column("__y").to_pylist())
 
 
 def _factory(model) -> Callable:
