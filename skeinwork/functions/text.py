@@ -88,6 +88,16 @@ def name_key_ascii(c: ColumnOrName) -> Column:
     return F.trim(F.replace(slug_ascii(c), F.lit("-"), F.lit(" ")))
 
 
+@F.pandas_udf(T.StringType())
+def _casefold(names: pd.Series) -> pd.Series:
+    return names.map(lambda s: s if s is None else s.casefold())
+
+
+def fold_key(c: ColumnOrName) -> Column:
+    """Key of a title or name that is compared without case (full case folding, an Arrow function), "&" as "and"."""
+    return squeeze(F.replace(_casefold(F.coalesce(_col(c), F.lit(""))), F.lit("&"), F.lit(" and ")))
+
+
 def strip_article(key: ColumnOrName) -> Column:
     """A folded key without one leading article."""
     return F.regexp_replace(_col(key), "^(the|a|an) ", "")
