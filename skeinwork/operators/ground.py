@@ -46,27 +46,48 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(F.transform(runs, lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(n)]))))
 
 
-def containment_join(quotes: DataFrame, quote: str, texts: DataFrame, text: str, inner: int = 4) -> DataFrame:
+#: Short quotes are broadcast up to this number; more are looked up by characters.
+MAX_BROADCAST_QUOTES = 10_000
+
+
+def _by_rarest(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """``__q`` and ``__k`` of quotes and texts that have the quote's rarest gram in common; ``wanted`` (``__q``, ``__g``) are the
+    quotes' grams, ``held`` (``__k``, ``__g``) the texts'."""
+    held = held.join(wanted.select("__g").distinct(), "__g", "left_semi")
+    freq = held.groupBy("__g").agg(F.count("*").alias("__f"))
+    rare = wanted.join(freq, "__g", "left").groupBy("__q").agg(F.min(F.struct(F.coalesce("__f", F.lit(0)).alias("f"), F.col("__g").alias("g"))).alias("__r"))
+    return held.join(rare.where("__r.f > 0").select("__q", F.col("__r.g").alias("__g")), "__g").select("__q", "__k").distinct()
+
+
+def _char_grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.xxhash64(g)))
+
+
+def containment_join(quotes: DataFrame, quote: str, texts: DataFrame, text: str, inner: int = 4, max_broadcast: int = MAX_BROADCAST_QUOTES) -> DataFrame:
     """All pairs of a quote and a text that holds it, both normalised; a blank quote is in none.
 
     A quote's words, its first and last left out (they may be parts of words), stand in the text as they are. So every
     quote of ``inner`` + 2 words or more is looked up by one hashed gram of its inner words among the texts' grams; the
-    gram is the rarest one in the texts, so that common passages don't gather. Shorter quotes are held against all texts
-    in a broadcast of their own, which their number must allow: they are names and fragments.
+    gram is the rarest one in the texts, so that common passages don't gather. Shorter quotes are names and fragments: up
+    to ``max_broadcast`` distinct ones are broadcast and held against every text, more are looked up by their rarest run of
+    three characters (or of their own length).
     """
     q = quotes.withColumn("__q", norm_for_match(quote)).where("__q <> ''")
     t = texts.withColumn("__t", norm_for_match(text)).withColumn("__k", F.sha2("__t", 256))
     words = F.split("__q", " ")
     q = q.withColumn("__inner", F.when(F.size(words) >= inner + 2, F.array_join(F.slice(words, F.lit(2), F.size(words) - 2), " ")))
-    grams = t.select("__k", F.explode(_grams(F.col("__t"), inner)).alias("__g"))  # keys alone: a text is not repeated per gram
     wanted = q.where("__inner IS NOT NULL").select("__q", F.explode(_grams(F.col("__inner"), inner)).alias("__g")).distinct()
-    held = grams.join(wanted.select("__g").distinct(), "__g", "left_semi")
-    freq = held.groupBy("__g").agg(F.count("*").alias("__f"))
-    rare = wanted.join(freq, "__g").groupBy("__q").agg(F.min(F.struct("__f", "__g")).alias("__r")).select("__q", F.col("__r.__g").alias("__g"))
-    found = held.join(rare, "__g").select("__q", "__k").distinct()
-    by_gram = q.where("__inner IS NOT NULL").join(found, "__q").join(t, "__k").where(F.contains("__t", F.col("__q")))
-    by_all = q.where("__inner IS NULL").join(t, F.contains("__t", F.col("__q")))
-    return by_gram.select(*[c for c in by_all.columns]).unionByName(by_all).drop("__q", "__t", "__inner", "__k")
+    found = _by_rarest(wanted, t.select("__k", F.explode(_grams(F.col("__t"), inner)).alias("__g")))
+    fragments = q.where("__inner IS NULL").select("__q").distinct()
+    if fragments.limit(max_broadcast + 1).count() <= max_broadcast:
+        texts_once = t.select("__k", "__t").where("__t IS NOT NULL")
+        found = found.unionByName(texts_once.join(F.broadcast(fragments), F.contains("__t", F.col("__q"))).select("__q", "__k").distinct())
+    else:
+        for n in (1, 2, 3):
+            own = fragments.where(F.length("__q") >= 3 if n == 3 else F.length("__q") == n)
+            found = found.unionByName(_by_rarest(own.select("__q", F.explode(_char_grams(F.col("__q"), n)).alias("__g")), t.select("__k", F.explode(_char_grams(F.col("__t"), n)).alias("__g"))))
+    pairs = q.join(found, "__q").join(t, "__k").where(F.contains("__t", F.col("__q")))
+    return pairs.select(*quotes.columns, *texts.columns)
 
 
 def pick_support(pairs: DataFrame, quote_id: str, cited: str, text_id: str) -> DataFrame:

@@ -328,7 +328,8 @@ def render_world(entities: DataFrame, events: DataFrame, article_words: tuple[st
     )
     quoted = rows.select("section", "index", shown.alias("page"), F.posexplode("quotes").alias("qpos", "q")).select("section", "index", "page", "qpos", "q.text", "q.speaker", "q.source_file")
     notes = written(number_footnotes(quoted, "text", "speaker", "source_file", ["page", "qpos"]), "notes")
-    cited = quoted.withColumn("quote", squeeze("text")).join(notes, [F.col("quote") == notes["quote"], quoted["speaker"].eqNullSafe(notes["speaker"]), quoted["source_file"].eqNullSafe(notes["source"])])
+    known = notes.select("n", F.col("quote").alias("__q"), F.col("speaker").alias("__by"), F.col("source").alias("__in"))
+    cited = quoted.join(known, (squeeze("text") == F.col("__q")) & F.col("speaker").eqNullSafe(F.col("__by")) & F.col("source_file").eqNullSafe(F.col("__in")))
     refs = cited.groupBy("section", "index").agg(_joined(F.concat(F.lit("[^"), F.col("n").cast("string"), F.lit("]")), ["qpos"], "").alias("refs"))
     rows = rows.join(refs, ["section", "index"], "left")
     block = render_history(event_bullets(rows.where("section = 'history'")))

@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skeinwork.functions import text as X
-from skeinwork.operators import grade, ground, mask, render, resolve, timeline
+from skeinwork.operators import document, extract, grade, graders, ground, mask, reconcile, render, resolve, timeline
 from skeinwork.sources import chatlog
 
 FLAGSHIP = "public_facts"
@@ -138,11 +139,54 @@ def quote_triage(spark, d):
     return out.select("item_id", "form", F.when(F.col("here").isNull(), "reword").when(F.col("here"), "unknown").otherwise("cosmetic").alias("triage"))
 
 
-@query("SELECT doc_id, sha256('model' || chr(1) || lang || chr(1) || text) AS k FROM documents WHERE lang NOT IN ('de') AND source NOT IN ('src3')")
+_CACHE_KEY = "sha256('model' || chr(0) || coalesce(lang, '') || chr(0) || coalesce(text, ''))"
+
+
+@query(f"SELECT doc_id, {_CACHE_KEY} AS key FROM documents WHERE {_CACHE_KEY} NOT IN (SELECT {_CACHE_KEY} FROM documents WHERE lang = 'de' OR source = 'src3')")
 def cache_anti_join(spark, d):
-    docs = table(spark, d, "documents").withColumn("k", F.sha2(F.concat_ws("\x01", F.lit("model"), "lang", "text"), 256))
-    cache = docs.where("lang = 'de' OR source = 'src3'").select("k")
-    return ground.cache_misses(docs.where("lang <> 'de' AND source <> 'src3'"), cache.join(docs.where("lang <> 'de' AND source <> 'src3'").select("k"), "k", "left_anti"), "k").select("doc_id", "k")
+    """Requests that a cache of some of them does not answer."""
+    asked = table(spark, d, "documents").withColumn("key", X.cache_key(F.lit("model"), "lang", "text"))
+    return ground.cache_misses(asked, asked.where("lang = 'de' OR source = 'src3'").select("key"), "key").select("doc_id", "key")
+
+
+_TURNS = """m AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS local_id, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+q AS (SELECT conv_id, local_id AS entry, text AS detail, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS quote, (local_id + 1) % n AS source_id FROM m),
+p AS (SELECT q.*, m.local_id AS message, m.role FROM q JOIN m USING (conv_id) WHERE {0} <> '' AND contains({1}, {0})),
+best AS (SELECT conv_id, entry, any_value(detail) AS detail, any_value(quote) AS quote, arg_min(message, (CASE WHEN message = source_id THEN 0 ELSE 1 END) * 100000 + message) AS message, arg_min(role, (CASE WHEN message = source_id THEN 0 ELSE 1 END) * 100000 + message) AS role, count(*) AS n_texts FROM p GROUP BY conv_id, entry)
+""".format(_NORM.format("quote"), _NORM.format("m.text"))
+
+
+def _batches(spark, d):
+    """Conversations as batches: messages, and a claim per message that cites the next one for its own first words."""
+    by = Window.partitionBy("conv_id")
+    rows = table(spark, d, "conversations").withColumns({"local_id": F.row_number().over(by.orderBy("turn")) - 1, "n": F.count("*").over(by)})
+    messages = rows.select("conv_id", "local_id", F.col("role").alias("sender"), F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("source_file"), F.col("text").alias("content"))
+    quote = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    claims = rows.select("conv_id", F.col("local_id").alias("entry"), F.col("text").alias("detail"), quote.alias("quote"), ((F.col("local_id") + 1) % F.col("n")).cast("bigint").alias("source_id"))
+    return messages, claims
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, CAST(entry AS INTEGER) AS entry, CAST(message AS INTEGER) AS message, n_texts FROM best")
+def quote_in_batch(spark, d):
+    messages, claims = _batches(spark, d)
+    return extract.resolve_quotes(claims, messages, ["conv_id"], ["conv_id", "entry"]).select("conv_id", "entry", F.col("at").alias("message"), "n_texts")
+
+
+@query(
+    f"""WITH {_TURNS} SELECT conv_id, CAST(entry AS INTEGER) AS entry, CASE WHEN entry % 2 = 0 THEN 'items' ELSE 'history' END AS entity_type,
+CASE WHEN entry % 2 = 0 THEN left(detail, 80) ELSE 'said' END AS name, role AS speaker, CASE WHEN entry % 4 = 1 THEN 'regional' WHEN entry % 2 = 1 THEN 'world' END AS scope
+FROM best"""
+)
+def typed_entries(spark, d):
+    """Entities without a name and events from JSON replies; both keep only what their batch holds."""
+    messages, claims = _batches(spark, d)
+    fact = F.struct("detail", "quote", "source_id")
+    item = F.to_json(F.struct(F.array(fact).alias("details")))
+    event = F.to_json(F.struct(F.lit("said").alias("name"), F.col("detail").alias("description"), F.when(F.col("entry") % 4 == 1, " Regional ").otherwise("?").alias("scope"), F.array(fact).alias("quotes")))
+    even = F.col("entry") % 2 == 0
+    raw = claims.select("conv_id", "entry", F.when(even, "items").otherwise("history").alias("entity_type"), F.when(even, item).otherwise(event).alias("raw"))
+    made = extract.build_entries(raw, messages, ["conv_id"]).where("size(quotes) > 0")
+    return made.select("conv_id", "entry", "entity_type", "name", F.get("quotes", F.lit(0))["speaker"].alias("speaker"), "scope")
 
 
 # --- chat logs -----------------------------------------------------------------------------------------------------
@@ -186,6 +230,21 @@ def toggle_mask(spark, d):
     return rows.groupBy("doc_id").agg(F.count_if((F.col("record") % 2 == 1) & ~F.col("line").rlike("^[A-D]")).alias("n_inside"))
 
 
+@query(
+    """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations),
+b AS (SELECT conv_id, turn, trim(string_agg(trim(line), chr(10) ORDER BY i), chr(10)) AS content FROM l GROUP BY conv_id, turn), k AS (SELECT * FROM b WHERE content <> '')
+SELECT CAST(conv_id AS VARCHAR) AS source_file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_ord, role AS sender_raw, sha256(content) AS content_sha256 FROM k JOIN conversations USING (conv_id, turn)"""
+)
+def chat_messages(spark, d):
+    """Conversations written as chat logs, with notices and reactions between the lines, and parsed again."""
+    turns = table(spark, d, "conversations")
+    head = F.concat(F.lit("May 17, 2022  5:29:42 PM (Read by you)\r\r\n"), F.col("role"), F.lit("\r\r\n"))
+    noise = F.lit("\n/Users/x/a.png\nThis message responded to an earlier message.\nTapbacks:\n    Loved by Ash\n")
+    log = turns.groupBy(F.col("conv_id").cast("string").alias("source_file")).agg(resolve.in_order(F.concat(head, F.col("text"), noise), "turn").alias("t"))
+    lines = chatlog.to_lines(log.select("source_file", F.array_join("t", "\n").alias("text")), "text", ["source_file"])
+    return chatlog.parse_messages(lines).select("source_file", "msg_ord", "sender_raw", F.sha2("content", 256).alias("content_sha256"))
+
+
 _HANDLES = [("exporter", "Dana"), ("+16305550100", "Ash"), ("user0", "Robin")]
 
 
@@ -210,42 +269,26 @@ def sender_counts(spark, d):
 _SLUG = "trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g')), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-')"
 
 
-@query(f"SELECT doc_id, {_SLUG.format('left(text, 60)')} AS slug FROM documents")
-def slug_ascii(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.slug_ascii(F.left("text", F.lit(60))).alias("slug"))
-
-
-@query(f"SELECT doc_id, {_SLUG.format('strip_accents(left(text, 60))')} AS slug FROM documents")
-def slug_fold_accents(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.slug(F.left("text", F.lit(60))).alias("slug"))
-
-
 @query(f"SELECT p_partkey, replace({_SLUG.format('p_name')}, '-', ' ') AS name_key FROM part")
 def name_key_fold(spark, d):
     return table(spark, d, "part").select("p_partkey", X.name_key_ascii("p_name").alias("name_key"))
 
 
-@query(f"SELECT doc_id, regexp_replace(replace({_SLUG.format('left(text, 30)')}, '-', ' '), '^(the|a|an) ', '') AS article_key FROM documents WHERE lang = 'en'")
-def article_strip(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
-    return docs.select("doc_id", X.strip_article(X.name_key_ascii(F.left("text", F.lit(30)))).alias("article_key"))
-
-
-# The same over whole texts; a text's key is as long as the text, so its digest is what comes out.
+# A text's key is as long as the text, so its digest is what comes out.
 
 
 @query(f"SELECT doc_id, sha256({_SLUG.format('text')}) AS slug_sha256 FROM documents")
-def slug_ascii_whole(spark, d):
+def slug_ascii(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(X.slug_ascii("text"), 256).alias("slug_sha256"))
 
 
 @query(f"SELECT doc_id, sha256({_SLUG.format('strip_accents(text)')}) AS slug_sha256 FROM documents")
-def slug_fold_accents_whole(spark, d):
+def slug_fold_accents(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(X.slug("text"), 256).alias("slug_sha256"))
 
 
 @query(f"SELECT doc_id, sha256(regexp_replace(replace({_SLUG.format('text')}, '-', ' '), '^(the|a|an) ', '')) AS article_key_sha256 FROM documents")
-def article_strip_whole(spark, d):
+def article_strip(spark, d):
     """Keys of the texts of every language."""
     return table(spark, d, "documents").select("doc_id", F.sha2(X.strip_article(X.name_key_ascii("text")), 256).alias("article_key_sha256"))
 
@@ -306,6 +349,71 @@ def combine_group(spark, d):
     )
 
 
+_ENTITIES = "e AS (SELECT p_partkey AS o, min(p_partkey) OVER (PARTITION BY p_brand, lower(p_name)) AS g, p_name, p_type, 's' || p_size AS src FROM part)"
+
+
+def _part_entities(spark, d):
+    p = table(spark, d, "part")
+    src = F.array(F.concat(F.lit("s"), F.col("p_size").cast("string")))
+    fact = F.array(F.struct(F.col("p_type").alias("text"), src.alias("source_files")))
+    none = lambda kind: F.lit(None).cast(kind)
+    return p.select(
+        F.col("p_brand").alias("brand"), F.lit("items").alias("entity_type"), F.array("p_partkey").alias("ord"), F.col("p_partkey").alias("index"), F.col("p_name").alias("name"), src.alias("name_sources"),
+        fact.alias("aliases"), fact.alias("details"), F.array(F.struct(F.col("p_type").alias("text"), F.col("p_brand").alias("speaker"), src[0].alias("source_file"))).alias("quotes"),
+        none("boolean").alias("is_pc"), none("string").alias("player_name"), none("array<string>").alias("pronouns"), none("string").alias("description"), none("string").alias("scope"), none("string").alias("date_text"),
+    )
+
+
+def _spelled(facts):
+    return F.array_join(F.transform(facts, lambda x: F.concat(x["text"], F.lit("@"), F.array_join(x["source_files"], "+"))), "|")
+
+
+@query(
+    f"""WITH {_ENTITIES}, f AS (SELECT g, p_type AS t, src, min(o) AS o FROM e GROUP BY ALL), one AS (SELECT g, t, min(o) AS o, string_agg(src, '+' ORDER BY o) AS s FROM f GROUP BY g, t),
+d AS (SELECT g, string_agg(t || '@' || s, '|' ORDER BY o) AS facts FROM one GROUP BY g), q AS (SELECT g, count(*) AS n_quotes FROM (SELECT DISTINCT g, p_type, src FROM e) GROUP BY g),
+h AS (SELECT g, string_agg(src, '+' ORDER BY o) AS heading_sources FROM (SELECT g, src, min(o) AS o FROM e GROUP BY g, src) GROUP BY g)
+SELECT g AS group_id, arg_min(p_name, o) AS name, heading_sources, count(*) AS n_members, facts AS aliases, facts AS details, CAST(n_quotes AS INTEGER) AS n_quotes FROM e JOIN d USING (g) JOIN q USING (g) JOIN h USING (g) GROUP BY ALL"""
+)
+def combine_entities(spark, d):
+    """The whole merge of entities of a brand with one name: aliases, facts and headings with the union of their sources."""
+    e = _part_entities(spark, d).withColumn("key", F.concat_ws("|", "brand", X.name_key_ascii("name")))
+    members = resolve.merge_by_key(e, "key", "index", "index").withColumns({"pos": F.col("index"), "canonical": F.upper("name")})
+    out = reconcile.combine(members, ["entity_type", "group_id"])
+    return out.select("group_id", "name", F.array_join("name_sources", "+").alias("heading_sources"), "n_members", _spelled("aliases").alias("aliases"), _spelled("details").alias("details"), F.size("quotes").alias("n_quotes"))
+
+
+_PARTY = [(0, "Kim", "Green Red", ["green red", "hot pink"], []), (1, "small blue", "Small", ["small"], []), (2, "Ash", "Cold Steel", ["cold steel", "cold"], []), (3, "Ash", "Other", ["other"], [])]
+
+
+@query(
+    """WITH k AS (SELECT * FROM (VALUES (0, 'green red'), (0, 'hot pink'), (1, 'small'), (2, 'cold steel'), (2, 'cold'), (3, 'other')) t(grp, known)), n AS (SELECT p_partkey, p_name AS name FROM part),
+m AS (SELECT p_partkey, grp, CASE WHEN name = known THEN 0 WHEN length(name) >= 4 AND length(known) >= 4 AND levenshtein(name, known) = 1 THEN 1 WHEN length(known) >= 4 AND NOT contains(known, ' ') AND list_contains(string_split(name, ' '), known) THEN 2 END AS tier FROM n, k
+UNION ALL SELECT p_partkey, 1, 3 FROM n WHERE name = 'small blue')
+SELECT p_partkey, CAST(arg_min(grp, tier * 10 + grp) AS INTEGER) AS "group", ['exact', 'typo', 'token', 'player'][min(tier) + 1] AS tier FROM m WHERE tier IS NOT NULL GROUP BY p_partkey"""
+)
+def declared_party(spark, d):
+    people = _part_entities(spark, d).withColumn("aliases", extract.empty("struct<text:string,source_files:array<string>>"))
+    declared = spark.createDataFrame(_PARTY, "group int, player string, main_name string, recognition array<string>, pronouns array<string>")
+    return reconcile.declared_tiers(people, declared).select(F.get("ord", F.lit(0)).alias("p_partkey"), "group", "tier")
+
+
+@query(
+    """WITH t AS (SELECT 'locations' AS kind, 1 AS r, n_nationkey AS i, lower(n_name) AS k FROM nation UNION ALL SELECT 'organizations', 2, n_nationkey, lower(n_name) FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT 'people', 3, n_nationkey, lower(n_name) FROM nation WHERE n_nationkey % 3 = 0), c AS (SELECT k, count(DISTINCT kind) AS n, bool_and(kind IN ('locations', 'organizations')) AS realm, min(r * 1000 + i) AS spot FROM t GROUP BY k),
+x AS (SELECT k, row_number() OVER (ORDER BY spot) - 1 AS cluster FROM c WHERE n > 1 AND NOT realm)
+SELECT CAST(cluster AS INTEGER) AS cluster, k AS key, kind AS entity_type FROM x JOIN t USING (k)"""
+)
+def type_conflicts(spark, d):
+    """Names that several types have, numbered as they are shown; a place and its government may share one."""
+    n = table(spark, d, "nation").select(F.array(big("n_nationkey")).alias("ord"), F.concat(F.lit("The "), F.col("n_name")).alias("name"), F.expr("array()").alias("details"), F.expr("array()").alias("quotes"))
+    kinds = {"locations": "true", "organizations": "ord[0] % 2 = 0", "people": "ord[0] % 3 = 0"}
+    rows = None
+    for kind, cond in kinds.items():
+        one = n.where(cond).withColumn("entity_type", F.lit(kind))
+        rows = one if rows is None else rows.unionByName(one)
+    return reconcile.type_conflicts(rows).select("cluster", F.regexp_replace("key", "^nation(?=[0-9])", "nation_").alias("key"), "entity_type")
+
+
 @query(
     """WITH e AS (SELECT p_partkey AS id, p_brand, p_size, list_distinct(CASE WHEN p_partkey % 3 = 0 THEN [string_split(p_name, ' ')[1]] ELSE string_split(p_name, ' ') END) AS t FROM part),
 s AS (SELECT a.p_brand, a.p_size, a.id AS frag, min(b.id) AS target, count(*) AS n FROM e a JOIN e b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.id <> b.id AND list_has_all(b.t, a.t) AND len(b.t) > len(a.t) GROUP BY ALL),
@@ -348,21 +456,8 @@ def declared_priority_join(spark, d):
     return resolve.priority_join(parts, "p_partkey", tiers).select("p_partkey", "declared", "tier")
 
 
-@query(
-    """WITH RECURSIVE g AS (SELECT p_brand || '|' || p_size AS grp, p_partkey AS m FROM part WHERE p_size <= 12 UNION ALL SELECT p_name || '|' || (p_partkey // 400), p_partkey FROM part WHERE p_size <= 12 AND p_partkey % 5 = 0),
-e AS (SELECT DISTINCT a.m AS a, b.m AS b FROM g a JOIN g b USING (grp)), r(n, m) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.m),
-c AS (SELECT n AS node, min(m) AS root FROM r GROUP BY n), s AS (SELECT root, count(*) AS k FROM c GROUP BY root)
-SELECT node, CASE WHEN k BETWEEN 2 AND 8 THEN root ELSE node END AS root, k BETWEEN 2 AND 8 AS merged FROM c JOIN s USING (root) WHERE node IN (SELECT m FROM g)"""
-)
-def merge_components(spark, d):
-    parts = table(spark, d, "part").where("p_size <= 12")
-    a = parts.select(F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).alias("grp"), F.col("p_partkey").alias("m"))
-    b = parts.where("p_partkey % 5 = 0").select(F.concat_ws("|", "p_name", F.expr("p_partkey div 400").cast("string")).alias("grp"), F.col("p_partkey").alias("m"))
-    return resolve.merge_components(a.unionByName(b), "grp", "m")
-
-
 @query()
-def merge_components_whole(spark, d):
+def merge_components(spark, d):
     """Both groupings over all parts. All pairs of a component are too many for SQL; a union-find tests it."""
     parts = table(spark, d, "part")
     a = parts.select(F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).alias("grp"), F.col("p_partkey").alias("m"))
@@ -443,29 +538,13 @@ def timeline_spine(spark, d):
     return timeline.spine(_dated(spark, d), "user_id", "parts").select("event_id", "user_id", "rank")
 
 
-@query(
-    f"""WITH {_RANKED.format("WHERE event_type <> 'click'")}, m AS (SELECT user_id, max(rank) + 1 AS m FROM ranked GROUP BY user_id),
-placed AS (SELECT event_id, e.user_id, e.event_id % (m + 1) AS k FROM events e JOIN m USING (user_id) WHERE event_type = 'click' AND e.event_id % 3 > 0),
-a AS (SELECT event_id, user_id, rank AS k, 1 AS kind FROM ranked UNION ALL SELECT event_id, user_id, k, 0 FROM placed)
-SELECT event_id, CAST(user_id AS VARCHAR) AS system, CAST(row_number() OVER (PARTITION BY user_id ORDER BY k, kind, event_id) - 1 AS BIGINT) AS position FROM a"""
-)
-def timeline_weave(spark, d):
-    every = _dated(spark, d).withColumn("system", F.col("user_id").cast("string"))
-    ranked = timeline.spine(every.where("event_type <> 'click'"), "system", "parts")
-    known = timeline.gaps(ranked, "system")
-    m = ranked.groupBy("system").agg((F.max("rank") + 2).alias("n"))
-    wish = every.where("event_type = 'click' AND event_id % 3 > 0").join(m, "system").select("event_id", "system", (F.col("event_id") % F.col("n")).alias("gap"), F.col("event_id").alias("placement_pos"))
-    placed = timeline.valid_placements(wish, known, ranked, "event_id", ["placement_pos"])
-    return timeline.weave(ranked, placed, "system", "event_id", "event_id")
-
-
 @query(
     f"""WITH {_RANKED.format("WHERE event_type <> 'click'")}, m AS (SELECT user_id, max(rank) + 1 AS m FROM ranked GROUP BY user_id),
 placed AS (SELECT event_id, CASE WHEN m IS NULL THEN '(undated)' ELSE CAST(e.user_id AS VARCHAR) END AS system, coalesce(e.event_id % (m + 1), 0) AS k FROM events e LEFT JOIN m USING (user_id) WHERE event_type = 'click'),
 a AS (SELECT event_id, CAST(user_id AS VARCHAR) AS system, rank AS k, 1 AS kind FROM ranked UNION ALL SELECT event_id, system, k, 0 FROM placed)
 SELECT event_id, system, CAST(row_number() OVER (PARTITION BY system ORDER BY k, kind, event_id) - 1 AS BIGINT) AS position FROM a"""
 )
-def timeline_weave_whole(spark, d):
+def timeline_weave(spark, d):
     """Every click is placed; those of a user without dated events stand in the undated system."""
     every = _dated(spark, d).withColumn("system", F.col("user_id").cast("string"))
     ranked = timeline.spine(every.where("event_type <> 'click'"), "system", "parts")
@@ -492,14 +571,8 @@ def inversion_count(spark, d):
     return timeline.inversions(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_orderpriority")
 
 
-@query("SELECT source, count(*) FILTER (WHERE b IS NOT NULL) AS n_pairs, count(*) FILTER (WHERE k < b) AS n_violations FROM (SELECT source, k, lag(k) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM (SELECT source, doc_id, lower(left(text, 5)) AS k FROM documents)) GROUP BY source HAVING count(*) FILTER (WHERE b IS NOT NULL) > 0")
-def alpha_order_violations(spark, d):
-    docs = table(spark, d, "documents").withColumn("k", F.lower(F.left("text", F.lit(5))))
-    return timeline.order_violations(docs, ["source"], ["doc_id"], "k")
-
-
 @query("SELECT source, count(*) FILTER (WHERE b IS NOT NULL) AS n_pairs, count(*) FILTER (WHERE k < b) AS n_violations FROM (SELECT source, k, lag(k) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM (SELECT source, doc_id, lower(text) AS k FROM documents)) GROUP BY source HAVING count(*) FILTER (WHERE b IS NOT NULL) > 0")
-def alpha_order_violations_whole(spark, d):
+def alpha_order_violations(spark, d):
     """Order violations by whole texts: equal beginnings do not make a pair ordered."""
     docs = table(spark, d, "documents").select("source", "doc_id", F.lower("text").alias("k"))
     return timeline.order_violations(docs, ["source"], ["doc_id"], "k")
@@ -536,14 +609,8 @@ def mask_rehead(spark, d):
     return mask.mask_entities(e, EXCLUDED).select("entity", "name", big(F.size("details")).alias("n_details"))
 
 
-@query("SELECT source AS name, 'duplicate' AS problem FROM (SELECT source FROM documents WHERE doc_id < 30) GROUP BY source HAVING count(*) > 1 UNION ALL SELECT 'nowhere', 'unknown'")
-def exclusion_validate(spark, d):
-    files = table(spark, d, "documents").where("doc_id < 30").select("source")
-    return mask.check_exclusions(files, "source", ["src1", "nowhere"])
-
-
 @query("SELECT source AS name, 'duplicate' AS problem FROM documents GROUP BY source HAVING count(*) > 1 UNION ALL SELECT x, 'unknown' FROM (VALUES ('src1'), ('nowhere')) t(x) WHERE x NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)")
-def exclusion_validate_whole(spark, d):
+def exclusion_validate(spark, d):
     return mask.check_exclusions(table(spark, d, "documents").select("source"), "source", ["src1", "nowhere"])
 
 
@@ -620,8 +687,6 @@ SELECT h.doc_id, CAST(h.lineno AS INTEGER) AS entry, count(l.lineno) AS n_lines
 )
 def entry_span_range_join(spark, d):
     """Lines inside each entry's span: the entry is the last head above a line, so no range join is needed."""
-    from pyspark.sql.window import Window
-
     lines = chatlog.to_lines(table(spark, d, "documents"), "text", ["doc_id"])
     head = F.length("line") < 60
     w = Window.partitionBy("doc_id").orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
@@ -669,6 +734,28 @@ def bool_fold(spark, d):
     return grade.fold_bool(votes, ["doc_id"], "flag", "vote", "own")
 
 
+@query(
+    f"""WITH {_VOTES}, c AS (SELECT doc_id, vote, label FROM v), l AS (SELECT doc_id, vote, CASE label WHEN 'pass' THEN 'pass' WHEN 'fail' THEN CASE WHEN vote = 0 THEN 'partial' ELSE 'fail' END END AS label FROM c),
+n AS (SELECT doc_id, label, count(*) AS k FROM l WHERE label IS NOT NULL GROUP BY ALL), t AS (SELECT doc_id, sum(k) AS s, max(k) AS m FROM n GROUP BY doc_id)
+SELECT doc_id, CASE WHEN 2 * m > s THEN max(label) FILTER (WHERE k = m) ELSE 'fail' END AS status FROM t JOIN n USING (doc_id) GROUP BY doc_id, m, s"""
+)
+def claim_verdicts(spark, d):
+    """Two verdicts per vote: affirmed ones pass, an omitted one makes it partial, a contradicted one fails, an odd one abstains."""
+    second = F.when(F.col("label") == "pass", " Affirmed").when(F.col("label") == "odd", "maybe").when(F.col("vote") == 0, "omitted").otherwise("contradicted")
+    claims = _votes(spark, d).select("doc_id", "vote", F.explode(F.array(F.lit("affirmed"), second)).alias("verdict"))
+    return graders.faithfulness(claims, ["doc_id"])
+
+
+@query(
+    """WITH v AS (SELECT o_custkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 2 AS choice FROM orders), n AS (SELECT o_custkey, choice, count(*) AS k FROM v WHERE choice >= 0 GROUP BY ALL),
+t AS (SELECT o_custkey, max(k) AS m FROM n GROUP BY o_custkey), w AS (SELECT o_custkey, CASE WHEN count(*) = 1 THEN min(choice) END AS choice FROM n JOIN t USING (o_custkey) WHERE k = m GROUP BY o_custkey)
+SELECT o_custkey, choice FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN w USING (o_custkey)"""
+)
+def index_majority(spark, d):
+    votes = table(spark, d, "orders").select("o_custkey", (F.left("o_orderpriority", F.lit(1)).cast("int") - 2).alias("choice"))
+    return graders.majority_index(votes, ["o_custkey"])
+
+
 _STATUS = "s AS (SELECT lang, CASE WHEN quality IS NULL THEN 'na' WHEN toxic = 1 THEN 'fail' WHEN quality = 1 THEN 'pass' ELSE 'partial' END AS status FROM documents LEFT JOIN labels USING (doc_id))"
 
 
@@ -702,17 +789,6 @@ def lint_status(spark, d):
     return c.withColumn("status", grade.status_from_counts("total", "violations"))
 
 
-@query(
-    """WITH l AS (SELECT doc_id AS a, sha256(text) AS k1, left(text, 12) AS k2 FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id AS b, sha256(text) AS k1, left(text, 12) AS k2 FROM documents WHERE doc_id % 2 = 1),
-s0 AS (SELECT a, b FROM (SELECT k1, min(a) AS a FROM l GROUP BY k1 HAVING count(*) = 1) JOIN (SELECT k1, min(b) AS b FROM r GROUP BY k1 HAVING count(*) = 1) USING (k1)),
-s1 AS (SELECT a, b FROM (SELECT k2, min(a) AS a FROM l WHERE a NOT IN (SELECT a FROM s0) AND k2 <> '' GROUP BY k2 HAVING count(*) = 1) JOIN (SELECT k2, min(b) AS b FROM r WHERE b NOT IN (SELECT b FROM s0) AND k2 <> '' GROUP BY k2 HAVING count(*) = 1) USING (k2))
-SELECT a, b, 0 AS stage FROM s0 UNION ALL SELECT a, b, 1 FROM s1"""
-)
-def unique_locks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("k1"), F.left("text", F.lit(12)).alias("k2"))
-    return grade.unique_locks(docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "a"), docs.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "b"), ["k1", "k2"], "a", "b")
-
-
 _FOLDED = f"CASE WHEN {_SLUG.format('text')} <> '' THEN sha256({_SLUG.format('text')}) END"
 
 
@@ -722,7 +798,7 @@ s0 AS (SELECT a, b FROM (SELECT k1, min(a) AS a FROM l GROUP BY k1 HAVING count(
 s1 AS (SELECT a, b FROM (SELECT k2, min(a) AS a FROM l WHERE a NOT IN (SELECT a FROM s0) GROUP BY k2 HAVING count(*) = 1) JOIN (SELECT k2, min(b) AS b FROM r WHERE b NOT IN (SELECT b FROM s0) GROUP BY k2 HAVING count(*) = 1) USING (k2))
 SELECT a, b, 0 AS stage FROM s0 UNION ALL SELECT a, b, 1 FROM s1"""
 )
-def unique_locks_whole(spark, d):
+def unique_locks(spark, d):
     """Locks by whole texts: equal ones, then those equal but for letter case, punctuation and spacing."""
     slug = X.slug_ascii("text")
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("k1"), F.when(slug != "", F.sha2(slug, 256)).alias("k2"))
@@ -752,3 +828,31 @@ def greedy_match_full(spark, d):
 def coverage_rollup(spark, d):
     runs = table(spark, d, "documents").select("lang", F.when(F.col("doc_id") % 2 == 0, "baseline").otherwise("candidate").alias("run"))
     return grade.coverage(runs, "lang", "run", "baseline", "candidate")
+
+
+# --- documents -----------------------------------------------------------------------------------------------------
+
+
+def _wiki(spark, d):
+    """All texts in documents of 64 ids of a source at most, in the documents' format: languages are sections, texts entries."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
+    docs = docs.withColumn("source", F.concat_ws("/", "source", F.expr("doc_id div 64").cast("string")))
+    entry = F.concat(F.lit('### <a id="d'), F.col("doc_id").cast("string"), F.lit('"></a>'), F.regexp_replace(F.get(F.split("text", r"\s+"), F.lit(0)), r"[#<>*]", ""), F.lit("\n"), F.regexp_replace("text", r"(?m)^[#\-*+\[]+", ""), F.lit("[^1]\n"))
+    parts = docs.groupBy("source", "lang").agg(F.array_join(resolve.in_order(entry, "doc_id"), "\n").alias("t"))
+    section = F.concat(F.lit("---\n## "), F.col("lang"), F.lit("\n"), F.col("t"))
+    whole = parts.groupBy(F.col("source").alias("doc_id")).agg(F.array_join(resolve.in_order(section, "lang"), "\n").alias("t"))
+    return whole.select("doc_id", F.concat(F.lit("# World\nAll of it.\n\n"), F.col("t"), F.lit("\n---\n## Footnotes\n[^1]: `said` — Ash, log.txt\n")).alias("text"))
+
+
+@query()
+def lint_all(spark, d):
+    """The 24 checks and the judged ones of each document; the parser and the checks are held against fixtures."""
+    items = graders.grade_format(document.stored(document.parse(_wiki(spark, d))))
+    return items.select("doc_id", "id", "status", "detail", F.size("lines").alias("n_lines"))
+
+
+@query("SELECT source || '/' || (doc_id // 64) AS doc_id, lang AS section, count(*) AS n_entries FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL")
+def document_entries(spark, d):
+    """Documents made of all texts and taken apart again: every text is an entry of its section."""
+    p = document.parse(_wiki(spark, d))
+    return graders.real_entries(p).groupBy("doc_id", "section").agg(F.count("*").alias("n_entries"))

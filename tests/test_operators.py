@@ -73,6 +73,8 @@ def test_containment_finds_short_and_long_quotes(spark):
     quotes = spark.createDataFrame([(1, "a b c d e f g"), (2, "b c"), (3, " "), (4, None), (5, "g h")], "q int, quote string")
     got = {(r.q, r.t) for r in ground.containment_join(quotes, "quote", texts, "text").collect()}
     assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (5, 1)}
+    more = ground.containment_join(quotes, "quote", texts, "text", max_broadcast=0)
+    assert {(r.q, r.t) for r in more.collect()} == got and "Cartesian" not in more._jdf.queryExecution().toString()
 
 
 def test_lineage_and_masking(spark):
@@ -142,7 +144,7 @@ Big. [^1] See [Lake](#lake) and [Gone](#gone)
 
 def test_document_tables_and_lint(spark):
     docs = spark.createDataFrame([(1, DOC), (2, ""), (3, None)], "doc_id int, text string")
-    p = document.parse(docs)
+    p = document.stored(document.parse(docs))
     assert [(r.name, r.anchor_id, r.is_bullet, r.is_grouping) for r in p.entries.orderBy("lineno").collect()] == [
         ("Lake", "lake", False, False), ("Could Not Place", None, False, True), ("Well", "well", True, False), ("plain", None, True, False),
     ]

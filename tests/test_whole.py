@@ -31,26 +31,26 @@ def texts(spark, tmp_path_factory):
 
 def test_names_of_whole_texts(spark, texts):
     head = "the-same-words-stand-at-the-head-of-all-of-these-texts-for-more-than-sixty-characters-"
-    got = {r.doc_id: r.slug_sha256 for r in catalog.QUERIES["slug_ascii_whole"](spark, texts).collect()}
+    got = {r.doc_id: r.slug_sha256 for r in catalog.QUERIES["slug_ascii"](spark, texts).collect()}
     assert got == {k: digest(head + t) for k, t in enumerate(["zebra", "mile", "apple", "apple", "unlike", "zebra"])}
-    got = {r.doc_id: r.slug_sha256 for r in catalog.QUERIES["slug_fold_accents_whole"](spark, texts).collect()}
+    got = {r.doc_id: r.slug_sha256 for r in catalog.QUERIES["slug_fold_accents"](spark, texts).collect()}
     assert got[1] == digest(head + "emile")
-    got = {r.doc_id: r.article_key_sha256 for r in catalog.QUERIES["article_strip_whole"](spark, texts).collect()}
+    got = {r.doc_id: r.article_key_sha256 for r in catalog.QUERIES["article_strip"](spark, texts).collect()}
     assert got[4] == digest((head + "unlike").replace("-", " ").removeprefix("the ")) and len(got) == 6
 
 
 def test_order_and_locks_of_whole_texts(spark, texts):
-    r = catalog.QUERIES["alpha_order_violations_whole"](spark, texts).first()
+    r = catalog.QUERIES["alpha_order_violations"](spark, texts).first()
     # zebra, émile, apple, apple!, unlike, zebra: é is above all ASCII letters, so only apple after émile is below.
     assert (r.n_pairs, r.n_violations) == (5, 1)
-    got = {(r.a, r.b, r.stage) for r in catalog.QUERIES["unique_locks_whole"](spark, texts).collect()}
+    got = {(r.a, r.b, r.stage) for r in catalog.QUERIES["unique_locks"](spark, texts).collect()}
     assert got == {(0, 5, 0), (2, 3, 1)}
 
 
 def test_exclusions_of_every_row(spark, tmp_path):
     rows = [(k, f"s{k}") for k in range(30)] + [(40, "late"), (41, "late"), (42, "src1")]
     d = planted(spark, tmp_path, documents=(rows, "doc_id long, source string"))
-    got = {(r.name, r.problem) for r in catalog.QUERIES["exclusion_validate_whole"](spark, d).collect()}
+    got = {(r.name, r.problem) for r in catalog.QUERIES["exclusion_validate"](spark, d).collect()}
     assert got == {("late", "duplicate"), ("nowhere", "unknown")}
 
 
@@ -58,7 +58,7 @@ def test_every_event_is_woven(spark, tmp_path):
     rows = [(k, u, kind, f"2024-01-{day:02d} 00:00:00") for k, u, kind, day in [(1, 7, "view", 2), (2, 7, "view", 5), (3, 7, "click", 1), (6, 7, "click", 1), (8, 7, "click", 9), (9, 8, "click", 1), (10, 8, "click", 1)]]
     events = spark.createDataFrame(rows, "event_id long, user_id int, event_type string, t string").selectExpr("event_id", "user_id", "event_type", "to_timestamp(t) AS ts")
     events.write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.event_id: (r.system, r.position) for r in catalog.QUERIES["timeline_weave_whole"](spark, str(tmp_path)).collect()}
+    got = {r.event_id: (r.system, r.position) for r in catalog.QUERIES["timeline_weave"](spark, str(tmp_path)).collect()}
     assert got == {3: ("7", 0), 6: ("7", 1), 1: ("7", 2), 2: ("7", 3), 8: ("7", 4), 9: ("(undated)", 0), 10: ("(undated)", 1)}
 
 
@@ -79,7 +79,7 @@ def test_components_of_all_parts_against_union_find(spark):
             root[max(x, y)] = min(x, y)
     ends = [find(r.p_partkey) for r in parts]
     want = {r.p_partkey: (x if 2 <= ends.count(x) <= 8 else r.p_partkey, 2 <= ends.count(x) <= 8) for r, x in zip(parts, ends, strict=True)}
-    got = {r.node: (r.root, r.merged) for r in catalog.QUERIES["merge_components_whole"](spark, sf).collect()}
+    got = {r.node: (r.root, r.merged) for r in catalog.QUERIES["merge_components"](spark, sf).collect()}
     assert got == want and any(r.p_size > 12 for r in parts)
 
 
