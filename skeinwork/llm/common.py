@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,12 +119,36 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[df[c] for c in df.columns if c.lower() not in taken])
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps for later tasks, under ``key``. A reused worker holds one such object; another
+    key, or an operator that needs none, sets it free."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    _RESIDENT["asked"] = True
+    return _RESIDENT[key]
+
+
+def _fresh(factory: Callable) -> Callable:
+    """The function that ``factory`` makes, in a worker without what earlier operators left there."""
+    _RESIDENT.pop("asked", None)
+    compute = factory()
+    if not _RESIDENT.pop("asked", False) and _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+    return compute
+
+
 def add_by_text(
     df: DataFrame,
     text_col: str,
     factory: Callable[[], Callable[[list[bytes | None]], list]],
     fields: list[T.StructField],
     keep: list[str] | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Adds columns computed from whole texts, in Arrow batches, without a shuffle.
 
@@ -141,10 +166,10 @@ def add_by_text(
     types = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = factory()
+        compute = _fresh(factory)
         for batch in batches:
             texts = batch.column(at).cast(pa.binary())
-            for lo, n in _slices(texts):
+            for lo, n in _slices(texts, slice_bytes):
                 made = compute(texts.slice(lo, n).to_pylist())
                 passed = [batch.column(i).slice(lo, n) for i in range(len(kept))]
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
@@ -153,14 +178,14 @@ def add_by_text(
     return spread(source).mapInArrow(run, schema)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, length) of runs of rows with at most ``SLICE_BYTES`` of text, one row at least."""
+def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows with at most ``most`` bytes of text, one row at least."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     lo = held = 0
     for i, size in enumerate(sizes):
-        if i > lo and held + size > SLICE_BYTES:
+        if i > lo and held + size > most:
             yield lo, i - lo
             lo, held = i, 0
         held += size

@@ -11,8 +11,9 @@ so the automaton only walks the remaining runs; this skips work, never matches.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
-from functools import lru_cache, partial
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -20,11 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.common import add_by_text, alnum_spans, alnum_words, without
+from skeinwork.llm.common import add_by_text, alnum_spans, alnum_words, resident, without
 
 WINDOW = 10
 #: Items go through in blocks of at most so many bytes of text; each block makes one automaton.
 BLOCK_BYTES = 4 << 20
+#: More blocks are refused: all items are broadcast.
+MAX_BLOCKS = 16
+#: With several blocks, texts of so many bytes pass one automaton before the next is made; a worker holds one at a time.
+GROUP_BYTES = 64 << 20
 _BITS = 22
 
 
@@ -177,11 +182,6 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * 0x9E3779B1 + b * 0x85EBCA77) & ((1 << _BITS) - 1)
 
 
-@lru_cache(maxsize=2)
-def _matcher(items: tuple, window: int) -> Matcher:
-    return Matcher(items, window)
-
-
 def cut(raw: bytes, matcher: Matcher) -> bytes:
     """``raw`` without its hit spans; repeats until what the cuts joined holds no match either."""
     while True:
@@ -199,9 +199,14 @@ def cut(raw: bytes, matcher: Matcher) -> bytes:
         raw = b" ".join(x for x in (y.strip(b" ") for y in out) if x)
 
 
-def _factory(block, window: int, clean: bool) -> Callable:
+def _digest(block: tuple) -> str:
+    return hashlib.sha256(repr(block).encode()).hexdigest()
+
+
+def _factory(block, key: str, window: int, clean: bool) -> Callable:
+    m = resident(("items", key, window), lambda: Matcher(block.value, window))
+
     def compute(texts: list[bytes | None]) -> list[list]:
-        m = _matcher(block.value, window)
         rows = []
         for raw in texts:
             words = alnum_words(raw or b"")
@@ -252,7 +257,8 @@ def decontaminate(
     of a new one are replaced.
 
     Items are test sets: they are read in blocks of ``block_bytes`` (each one broadcast automaton). With more than one
-    block the documents pass through one block after the other in the same row, so that nothing is shuffled.
+    block the documents pass through one block after the other in the same row, so that nothing is shuffled; a block's
+    automaton is made once for ``GROUP_BYTES`` of text. More than ``MAX_BLOCKS`` blocks are refused.
     """
     sc = docs.sparkSession.sparkContext
     fields = [
@@ -263,11 +269,16 @@ def decontaminate(
     ]
     if clean:
         fields.append(T.StructField("clean_text", T.StringType()))
-    blocks = [sc.broadcast(b) for b in _blocks(items, item_id_col, item_text_col, block_bytes)]
+    parts = []
+    for part in _blocks(items, item_id_col, item_text_col, block_bytes):
+        if len(parts) == MAX_BLOCKS:
+            raise ValueError(f"the items hold more than {MAX_BLOCKS} blocks of {block_bytes} bytes; give them in parts")
+        parts.append(part)
+    blocks = [sc.broadcast(b) for b in parts]
     if len(blocks) == 1:
-        out = add_by_text(docs, text_col, partial(_factory, blocks[0], window, clean), fields)
+        out = add_by_text(docs, text_col, partial(_factory, blocks[0], _digest(parts[0]), window, clean), fields)
     else:
-        out = add_by_text(docs, text_col, partial(_many, blocks, window, clean), fields)
+        out = add_by_text(docs, text_col, partial(_many, blocks, window, clean), fields, slice_bytes=GROUP_BYTES)
     if clean:
         out = out.withColumn("clean_text", F.coalesce("clean_text", F.col(text_col).cast("string")))
     out = without(out, ["contaminated", "coverage"])
@@ -288,7 +299,7 @@ def _many(blocks: list, window: int, clean: bool) -> Callable:
         found: list[set[str]] = [set() for _ in texts]
         longest, cleaned = [0] * len(texts), list(texts)
         for block in blocks:
-            m = _matcher(block.value, window)
+            m = Matcher(block.value, window)
             for k, w in enumerate(words):
                 mask, ids, size = m.scan(w)
                 found[k] |= ids
