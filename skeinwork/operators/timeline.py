@@ -64,3 +64,44 @@ def order_violations(df: DataFrame, by: list[str], order: list[str], key: str, s
     rows = df.withColumn("__b", before).where("__b IS NOT NULL")
     bad = F.col(key) <= F.col("__b") if strict else F.col(key) < F.col("__b")
     return rows.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.count_if(bad).alias("n_violations"))
+
+
+# Labels of calendars that are offsets from the present which were left as they are; they would sort backwards.
+OFFSET_SYSTEM = r"(?i)years?\s+ago|before\s+present|\bago\b"
+
+
+def valid_dates(dated: DataFrame, events: DataFrame) -> DataFrame:
+    """The usable ones of dated rows (``index``, ``pos``, ``system``, ``parts``, ``anchor_relative``): an event that there is and that
+    states a date (``events``: ``index``, ``date_text``), parts that are whole numbers from 0, a calendar with a name that is no
+    offset, and a number of the date among the parts. Of several rows of an event the first sound one counts."""
+    known = events.where(F.trim(F.coalesce("date_text", F.lit(""))) != "").select("index", "date_text")
+    sound = (F.size("parts") > 0) & F.forall("parts", lambda x: F.coalesce(x >= 0, F.lit(False))) & (F.trim(F.coalesce("system", F.lit(""))) != "")
+    rows = dated.join(known, "index").where(F.coalesce(sound, F.lit(False)))
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("index").orderBy("pos"))).where("__n = 1").drop("__n")
+    moored = date_guard("parts", "date_text", F.coalesce("anchor_relative", F.lit(False)))
+    return first.where(~F.col("system").rlike(OFFSET_SYSTEM) & F.coalesce(moored, F.lit(False)))
+
+
+def gathered_placements(placements: DataFrame) -> DataFrame:
+    """Placements (``ord``, ``gap_id``, ``pos``, ``index``) with one entry per gap: gaps in the order they come first, events of a gap
+    once, in the order they come first. Returns ``gap_id``, ``gap_ord``, ``index``, ``at``."""
+    firsts = placements.groupBy("gap_id").agg(F.min("ord").alias("gap_ord"))
+    once = placements.groupBy("gap_id", "index").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    return once.join(firsts, "gap_id")
+
+
+def order_history(events: DataFrame, dated: DataFrame, placements: DataFrame) -> DataFrame:
+    """``events`` (``index``, ``date_text``) with ``calendar_system`` and ``chronological_position``.
+
+    Usable dates make a spine per calendar; events without one are placed in its gaps ("system#k", before rank k) or in the
+    one of the undated sequence ("(undated)#0"). An event counts in the first gap that names it; a gap that there is not, or
+    an event that has a date, is passed over. What is in no gap has neither calendar nor position.
+    """
+    ranked = spine(valid_dates(dated, events), "system", "parts")
+    known = gaps(ranked, "system").withColumn("gap_id", F.concat("system", F.lit("#"), F.col("gap").cast("string")))
+    told = gathered_placements(placements).join(events.select("index"), "index", "left_semi").join(known, "gap_id")
+    placed = valid_placements(told, known, ranked, "index", ["gap_ord", "at"])
+    order = F.row_number().over(Window.partitionBy("system", "gap").orderBy("at"))
+    woven = weave(ranked, placed.withColumn("placement_pos", order.cast("bigint")), "system", "index", "index")
+    out = events.join(woven, "index", "left")
+    return out.withColumn("calendar_system", F.when(F.col("system") != UNDATED, F.col("system"))).withColumnRenamed("position", "chronological_position").drop("system")
