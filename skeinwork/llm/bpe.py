@@ -19,17 +19,18 @@ import codecs
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterable
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skeinwork.llm.common import add_by_text
+from skeinwork.llm.common import add_by_text, resident
 
-#: Bounds of what a worker keeps: states of the transducer, pairs of tokens, and bytes of chunks with their ids.
-MAX_STATES, MAX_PAIRS, MAX_CHUNK_BYTES = 250_000, 300_000, 24 << 20
+#: Bounds of what a worker keeps: states of the transducer, pairs and merges of tokens, and bytes of chunks with their ids.
+MAX_STATES, MAX_PAIRS, MAX_PARTS, MAX_CHUNK_BYTES = 80_000, 100_000, 10_000, 8 << 20
 #: Bytes after which what is certain by then is emitted.
 LOOKAHEAD = 1 << 10
 #: Tokens that are decoded at once.
@@ -73,7 +74,7 @@ class Transducer:
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}
         self.token_at: dict[int, int] = {}
-        self.depth, self.inner = [0], {0}
+        self.depth, self.inner = array("H", [0]), {0}
         for token, rank in ranks.items():
             at = 0
             for b in token:
@@ -118,6 +119,8 @@ class Transducer:
         """What stands at the left and at the right end of a token while it is merged, each with its rank and that of
         the merge that ends it, and whether the ranks of its merges only rise; None if merges don't make the token."""
         if token not in self.parts:
+            if len(self.parts) >= MAX_PARTS:
+                self.parts.clear()
             ranks, raw = self.ranks, self.bytes_of[token]
             parts = [raw[k : k + 1] for k in range(len(raw))]
             left, right, order = [parts[0]], [parts[-1]], []
@@ -359,30 +362,19 @@ _MARKS = ",.;:!?"
 _NOT_CUT = re.compile(r"\s\s").search
 
 
-@lru_cache(maxsize=1)
-def _codec(key: str, broadcast, pattern: str) -> Codec:
-    return Codec(broadcast.value, pattern)
-
-
 class _Shared:
-    """A broadcast that is compared by its content's digest, so that a reused worker keeps its codec."""
+    """A broadcast with its content's digest, under which a reused worker keeps its codec."""
 
     def __init__(self, broadcast, key: str) -> None:
         self.broadcast, self.key = broadcast, key
 
-    def __hash__(self) -> int:
-        return hash(self.key)
-
-    def __eq__(self, other) -> bool:
-        return self.key == other.key
-
     @property
     def value(self):
         return self.broadcast.value
 
 
 def _factory(ranks: _Shared, pattern: str, with_ids: bool) -> Callable:
-    codec = _codec(ranks.key, ranks, pattern)
+    codec = resident(("bpe", ranks.key, pattern), lambda: Codec(ranks.value, pattern))
 
     def compute(texts: list[bytes | None]) -> list[list]:
         n, digests, decoded, ids = [], [], [], []

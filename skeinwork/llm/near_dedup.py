@@ -342,17 +342,16 @@ def _cross_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result(None)
 
 
-def confirm(tables: Tables, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar. The sets are made anew from the texts of these nodes."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = tables.written(nodes.select("node", "__set", "__id").join(ends, "node", "left_semi"), "near-wanted")
+    wanted = nodes.select("node", "__set", "__id").join(ends, "node", "left_semi")
     ids = wanted.select(F.col("__id").alias("__want")).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_IDS else ids
     texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("__want")), "left_semi")
     items = [T.StructField("__set", T.BinaryType()), T.StructField("__items", T.BinaryType())]
     sets = add_by_text(texts, text_col, partial(_keys, True), items, keep=[])
     sets = sets.join(wanted.select("node", "__set"), "__set").dropDuplicates(["node"]).select("node", "__items")
-    sets = tables.written(sets, "near-sets")
     return with_pivots(pairs, sets).mapInArrow(_similar_stars, _PAIRS)
 
 
@@ -441,7 +440,7 @@ def node_links(tables: Tables, nodes: DataFrame, docs: DataFrame, id_col: str, t
         if pairs.isEmpty():
             return found
         chains = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        return components(tables, chains.unionByName(confirm(tables, pairs, nodes, docs, id_col, text_col)))
+        return components(tables, chains.unionByName(confirm(pairs, nodes, docs, id_col, text_col)))
 
     none = nodes.sparkSession.createDataFrame([], "node long, root long")
     stars = close_to_pivots(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -472,8 +471,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         first = some.join(classes, "__set").where(F.col(id_col).eqNullSafe(F.col("component_id")))
         first = first.groupBy("__root").agg(F.count("*").alias("n_first"))
         classes = tables.written(classes.join(first, "__root", "left"), "near-classes")
-        rows = tables.written(signed.select(id_col, "n_shingles", "__set"), "near-rows")
-        return tables.keep(classes), tables.keep(rows)
+        return tables.keep(classes), tables.keep(signed).select(id_col, "n_shingles", "__set")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -501,6 +499,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None,
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group; all columns stay, whatever their names."""
     classes, rows = duplicate_classes(docs, id_col, text_col)
+    if rows.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty():
+        gone = rows.join(classes, "__set").where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
+        gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+        return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")  # the ids tell the rows apart: texts stay where they are
     renamed = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
     back = [F.col(v).alias(c) for c, v in renamed.items()]
     marked = _placed(docs.toDF(*renamed.values()), renamed[id_col], renamed[text_col], list(renamed.values()), classes, rows).where("kept")
