@@ -393,12 +393,13 @@ def _factory(ranks: _Shared, pattern: str, with_ids: bool) -> Callable:
     return compute
 
 
-def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Adds ``n_tokens``, ``ids_sha256`` (over ids as little-endian unsigned 32-bit integers), ``decoded_sha256`` (over
     the bytes decoded from the ids) and, ``with_ids``, ``token_ids``; no shuffle.
 
     A null text is an empty one: no tokens, the digests of nothing. Strings of special tokens are ordinary text. Every
     text is encoded whole. Repeated rows get equal results. Input columns with the name of a new one are replaced.
+    ``keep``: the input columns to return besides (all by default); texts that are not wanted back are not sent back.
     """
     ranks = load_ranks(ranks_path)
     key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
@@ -410,4 +411,4 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text_col: str =
     ]
     if with_ids:
         fields.append(T.StructField("token_ids", T.ArrayType(T.IntegerType()), False))
-    return add_by_text(df, text_col, partial(_factory, shared, pattern, with_ids), fields)
+    return add_by_text(df, text_col, partial(_factory, shared, pattern, with_ids), fields, keep=keep)

@@ -132,6 +132,31 @@ def resident(key: object, make: Callable[[], object]) -> object:
     return _RESIDENT[key]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold ``SLICE_BYTES`` at most, unless it has a smaller bound: memory on both sides of a
+    Python pass follows the batch. Results do not depend on it."""
+    if int(str(spark.conf.get(_BATCH_BYTES)).rstrip("bB")) > SLICE_BYTES:
+        spark.conf.set(_BATCH_BYTES, SLICE_BYTES)
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to ``most`` bytes of text, where that is more than they hold."""
+    if most <= SLICE_BYTES:
+        yield from batches
+        return
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.column(at).nbytes for b in held) >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _fresh(factory: Callable) -> Callable:
     """The function that ``factory`` makes, in a worker without what earlier operators left there."""
     _RESIDENT.pop("asked", None)
@@ -167,7 +192,7 @@ def add_by_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = _fresh(factory)
-        for batch in batches:
+        for batch in _gathered(batches, at, slice_bytes):
             texts = batch.column(at).cast(pa.binary())
             for lo, n in _slices(texts, slice_bytes):
                 made = compute(texts.slice(lo, n).to_pylist())
@@ -175,6 +200,7 @@ def add_by_text(
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(passed + made, names=[*kept, *names])
 
+    bound_batches(df.sparkSession)
     return spread(source).mapInArrow(run, schema)
 
 

@@ -214,12 +214,12 @@ def _factory(base: tuple, templates: tuple) -> Callable:
     return compute
 
 
-def scan_licenses(df: DataFrame, text_col: str = "text", base: tuple = BASE, templates: tuple = TEMPLATES) -> DataFrame:
+def scan_licenses(df: DataFrame, text_col: str = "text", base: tuple = BASE, templates: tuple = TEMPLATES, keep: list[str] | None = None) -> DataFrame:
     """Adds ``n_words``, ``n_base`` (places of base phrases), ``first_word`` and ``last_word`` (their smallest and largest
     start, null without one), ``base_labels``, ``labels`` (with those of templates; distinct, sorted, comma-joined) and
     ``score`` (1 for a base phrase, else the best template's share of words in place, 0 without one); no shuffle.
 
     A null or empty text has no words and no labels. Texts are scanned whole. Repeated rows get equal results; input
-    columns with the name of a new one are replaced.
+    columns with the name of a new one are replaced. ``keep``: the input columns to return besides (all by default).
     """
-    return add_by_text(df, text_col, partial(_factory, base, templates), _FIELDS)
+    return add_by_text(df, text_col, partial(_factory, base, templates), _FIELDS, keep=keep)

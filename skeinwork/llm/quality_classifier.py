@@ -218,12 +218,13 @@ def _factory(model) -> Callable:
     return compute
 
 
-def classify(docs: DataFrame, model: Fitted, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, model: Fitted, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """Adds ``score`` (0 to 1, higher: label 1 is likelier) and ``predicted`` (1 if it reaches ``threshold``).
 
     Only the text counts. Every text is read whole; a null or empty one gets the score of the bias alone. Repeated rows
     get equal results. Input columns with the name of a new one are replaced. The model is broadcast; its size is fixed.
+    ``keep``: the input columns to return besides (all by default).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = add_by_text(docs, text_col, partial(_factory, shared), [T.StructField("score", T.DoubleType(), False)])
+    out = add_by_text(docs, text_col, partial(_factory, shared), [T.StructField("score", T.DoubleType(), False)], keep=keep)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

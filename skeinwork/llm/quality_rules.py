@@ -151,15 +151,15 @@ def _factory(bands: Bands) -> Callable:
     return compute
 
 
-def quality_rules(df: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
+def quality_rules(df: DataFrame, text_col: str = "text", bands: Bands = Bands(), keep: list[str] | None = None) -> DataFrame:
     r"""Adds the counts and verdicts of the rules to each row; no shuffle.
 
     New columns: ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``zstd_ratio``,
     ``bad_chunk_share``, ``in_bands``, ``base_failed`` (under 50 words, or over half of them in repeated windows) and
     ``kept`` (not base_failed and in_bands). A null or empty text has zeros, a null ratio and fails the base rule.
     Every text is compressed whole, however long. Repeated rows get equal results. Input columns with the name of a
-    new one are replaced.
+    new one are replaced. ``keep``: the input columns to return besides (all by default).
     """
-    out = add_by_text(df, text_col, partial(_factory, bands), _FIELDS)
+    out = add_by_text(df, text_col, partial(_factory, bands), _FIELDS, keep=keep)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("in_bands"))

@@ -89,12 +89,12 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_decode(docs, tokenizer_path(), tokenizer_pattern()).drop("text")
+    return bpe.encode_decode(docs, tokenizer_path(), tokenizer_pattern(), keep=["doc_id"])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.quality_rules(docs).drop("text")
+    return quality_rules.quality_rules(docs, keep=["doc_id"])
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,13 +105,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.train(docs, _table(spark, sf_dir, "labels"))
-    scored = quality_classifier.classify(docs, model)
+    scored = quality_classifier.classify(docs, model, keep=["doc_id"])
     return scored.select("doc_id", quality_classifier.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return licenses.scan_licenses(docs).drop("text")
+    return licenses.scan_licenses(docs, keep=["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -407,6 +407,38 @@ def test_url_filter(spark):
     assert [(r.host, r.path) for r in got] == [url_filter.split_url(u) for u in urls]
 
 
+def test_url_model_on_urls_it_has_not_seen():
+    rows, right = list(url_filter.TRAINING), 0
+    for fold in range(6):
+        model = url_filter.train([r for k, r in enumerate(rows) if k % 6 != fold])
+        right += sum((model.score(url_filter.ngrams(*url_filter.split_url(u))) >= 0.5) == bool(y) for k, (u, y) in enumerate(rows) if k % 6 == fold)
+    assert right / len(rows) >= 0.8
+
+
+def test_url_filter_edges(spark):
+    long = "http://a.example.net/" + "x" * 300_000
+    df = spark.createDataFrame([(1, long), (2, long), (3, "http://b.c/en/"), (3, "http://b.c/en/")], "page_id long, url string")
+    model = url_filter.train()
+    got = url_filter.filter_urls(df, model, rules=(("block", "b.c", "/en/"), ("allow", "b.c", "/en/"), ("allow", "c", "/"))).collect()
+    assert len(got) == 4 and {(r.verdict, r.rule) for r in got if r.page_id == 3} == {("block", "b.c/en/")}  # the earlier of equal rules
+    assert len({r.block_score for r in got if r.page_id < 3}) == 1 and all(len(r.path) == 300_001 for r in got if r.page_id < 3)
+    assert url_filter.filter_urls(df.limit(0), model).count() == 0
+
+
+def test_classifier_edges(spark):
+    text = "good words " * 3
+    rows = [(k, text + "!" * (k % 2) * 40) for k in range(60)] + [(7, text), (None, text), (90, "w" * 200_000), (91, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"SCORE": F.lit("x"), "Predicted": F.lit("y")})
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels)
+    got = quality_classifier.classify(docs, model)
+    assert got.columns == ["doc_id", "text", "Predicted", "score"] and got.count() == len(rows)
+    assert all(0 <= r.score <= 1 for r in got.collect())
+    assert quality_classifier.classify(docs.limit(0), model).count() == 0
+    assert quality_classifier.train(docs, labels, max_bytes=0).scores([quality_classifier.features(b"x")])[0] == 0.5
+    assert quality_classifier.shapes(b"aa11!! " + b"x!" * 30) == [b"a0!", b"a!" * 30]
+
+
 def test_classifier_learns_and_ignores_the_held_out(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
