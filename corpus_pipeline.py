@@ -37,8 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text."""
-    made = bpe.encode_decode(docs, queries.tokenizer_path(), queries.tokenizer_pattern(), with_ids=True)
-    return made.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
+    kept = ["doc_id", "lang", "source", "n_chars"]
+    return bpe.encode_decode(docs, queries.tokenizer_path(), queries.tokenizer_pattern(), with_ids=True, keep=kept)
 
 
 STAGES = [
