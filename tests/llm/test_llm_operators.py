@@ -432,7 +432,7 @@ def test_classifier_edges(spark):
     labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id long, quality int")
     model = quality_classifier.train(docs, labels)
     got = quality_classifier.classify(docs, model)
-    assert got.columns == ["doc_id", "text", "Predicted", "score"] and got.count() == len(rows)
+    assert [c.lower() for c in got.columns] == ["doc_id", "text", "predicted", "score"] and got.count() == len(rows)
     assert all(0 <= r.score <= 1 for r in got.collect())
     assert quality_classifier.classify(docs.limit(0), model).count() == 0
     assert quality_classifier.train(docs, labels, max_bytes=0).scores([quality_classifier.features(b"x")])[0] == 0.5
