@@ -6,9 +6,10 @@ that the popcount of two bitmaps' XOR estimates how many samples differ. It is p
 candidates below the threshold fall out on it. The others are confirmed on their full sets.
 
 No group is expanded into its pairs. In each band every node is first held against one pivot; the confirmed links make
-components. Only bands that still hold two components are held against themselves, in blocks of bounded size, and give
-the pairs across components that the sketches let pass; so what the pivots did not connect is held against all the rest,
-and large groups of copies cost one pair each.
+components. Only bands that still hold two components are held against themselves, in blocks of bounded size, so what the
+pivots did not connect is held against all the rest. The nodes that the sketches let pass there go on in groups, not as
+pairs, and a group gives the links that join its components: rows follow the nodes, even where many texts are just below
+the threshold, and large groups of copies cost one pair each.
 """
 
 from __future__ import annotations
@@ -225,6 +226,10 @@ GROUP = 256
 #: Pairs whose sketches are compared at once.
 _AT_ONCE = 8192
 _PAIRS = "a long, b long"
+#: A group of candidates: its nodes, their components, and which of the others each is to be compared with.
+_GROUPS = "key string, node long, root long, others array<long>"
+#: Shingles of either side of a group, about, or one node's.
+GROUP_ITEMS = 1 << 19
 #: Sizes of similar sets differ by a factor of 4 / 3 at most, so their classes by 1 at most.
 _CLASS = 1.34
 
@@ -286,8 +291,9 @@ def _similar_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _cell_pairs(x: tuple, y: tuple | None, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Close pairs across components of two cells of a band (of one cell: ``y`` is None), each in the first band it shares."""
-    nodes_a, nodes_b = [], []
+    """Places of the close pairs across components of two cells of a band (of one cell: ``y`` is None), each in the first
+    band it shares."""
+    places_a, places_b = [], []
     y, inside = (x, True) if y is None else (y, False)
     step = max(1, (1 << 20) // max(1, len(x[0])))
     for lo in range(0, len(y[0]), step):
@@ -303,22 +309,44 @@ def _cell_pairs(x: tuple, y: tuple | None, band: int) -> tuple[np.ndarray, np.nd
             i, k = i[good], k[good]
             same = x[5][i] == y[5][k]
             first = x[5][i, same.argmax(axis=1)] == band if len(i) else np.zeros(0, dtype=bool)
-            i, k = i[first], k[first]
-            nodes_a.append(np.minimum(x[0][i], y[0][k]))
-            nodes_b.append(np.maximum(x[0][i], y[0][k]))
+            places_a.append(i[first])
+            places_b.append(k[first])
     none = np.empty(0, dtype=np.int64)
-    return np.concatenate([none, *nodes_a]), np.concatenate([none, *nodes_b])
+    return np.concatenate([none, *places_a]), np.concatenate([none, *places_b])
+
+
+def _grouped(x: tuple, y: tuple, i: np.ndarray, k: np.ndarray, key: str) -> Iterator[pa.RecordBatch]:
+    """The pairs (x at ``i``, y at ``k``) as groups (``_GROUPS``) of ``GROUP_ITEMS`` shingles on either side, about: one row
+    for each node of a group."""
+
+    def part(z: tuple, at: np.ndarray) -> np.ndarray:
+        used, back = np.unique(at, return_inverse=True)
+        return (np.cumsum(z[2][used]) // GROUP_ITEMS)[back]
+
+    if not len(i):
+        return
+    part_x, part_y = part(x, i), part(y, k)
+    order = np.lexsort((i, part_y, part_x))
+    i, k, part_x, part_y = i[order], k[order], part_x[order], part_y[order]
+    edges = np.flatnonzero((np.diff(part_x, prepend=-1) != 0) | (np.diff(part_y, prepend=-1) != 0)).tolist()
+    for lo, hi in zip(edges, [*edges[1:], len(i)], strict=True):
+        a, b = x[0][i[lo:hi]], y[0][k[lo:hi]]
+        nodes, at = np.unique(np.concatenate((a, b)), return_index=True)
+        roots = np.concatenate((x[1][i[lo:hi]], y[1][k[lo:hi]]))[at]
+        place = np.searchsorted(nodes, a)
+        ends = np.cumsum(np.bincount(place + 1, minlength=len(nodes) + 1)).astype(np.int32)
+        others = pa.ListArray.from_arrays(pa.array(ends), pa.array(b[np.argsort(place, kind="stable")]))
+        yield pa.RecordBatch.from_arrays([pa.array([f"{key}:{part_x[lo]}:{part_y[lo]}"] * len(nodes)), pa.array(nodes), pa.array(roots), others], names=["key", "node", "root", "others"])
 
 
 def _cross_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by ``key`` and ``side``: the nodes of one cell (side 0), then those of another (1), or of one cell that
     is held against itself (2). Only the first cell is kept, the other streams by."""
-    key, side, band, x = None, 0, 0, []
+    key, side, band, x, n = None, 0, 0, [], 0
 
     def result(y):
         whole = tuple(np.concatenate(z) for z in zip(*x, strict=True))
-        a, b = _cell_pairs(whole, y, band)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        return _grouped(whole, y or whole, *_cell_pairs(whole, y, band), f"{key}:{n}")
 
     for batch in batches:
         names = ("node", "root", "n_shingles", "__samples")
@@ -331,28 +359,87 @@ def _cross_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = tuple(z[lo:hi] for z in rows)
             if keys[lo] != key:
                 if side == 2 and x:
-                    yield result(None)
-                key, band, x = keys[lo], in_band[lo], []
+                    yield from result(None)
+                key, band, x, n = keys[lo], in_band[lo], [], 0
             side = sides[lo]
             if side == 1:
-                yield result(part)
+                yield from result(part)
+                n += 1
             else:
                 x.append(tuple(z.copy() for z in part))
     if side == 2 and x:
-        yield result(None)
+        yield from result(None)
+
+
+def _joining(nodes: np.ndarray, roots: np.ndarray, others: list[np.ndarray], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Similar pairs of a group that join its components. A pair that such pairs have joined already is not compared; all
+    others of ``others`` are, on full sets."""
+    order = np.argsort(nodes)
+    ends = np.cumsum([0, *map(len, sets)])
+    items = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sizes, marked = np.diff(ends), np.zeros(len(items), dtype=bool)
+    roots = roots.copy()
+    out: tuple[list[int], list[int]] = ([], [])
+    for i, other in enumerate(others):
+        k = order[np.searchsorted(nodes, other, sorter=order)]
+        k = k[roots[k] != roots[i]]
+        if not len(k):
+            continue
+        own = items[ends[i] : ends[i + 1]]
+        marked[own] = True
+        both = np.array([np.count_nonzero(marked[items[ends[j] : ends[j + 1]]]) for j in k.tolist()])
+        marked[own] = False
+        for j in k[100 * both >= SIMILAR * (sizes[i] + sizes[k] - both)].tolist():
+            if roots[j] != roots[i]:
+                out[0].append(int(nodes[i]))
+                out[1].append(int(nodes[j]))
+                roots[roots == roots[j]] = roots[i]
+    return out
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar. The sets are made anew from the texts of these nodes."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.select("node", "__set", "__id").join(ends, "node", "left_semi")
+def _similar_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) of groups: rows sorted by ``key``, with ``__items``. One group is held at a time."""
+    key, held = None, []
+
+    def result():
+        nodes, roots, others, sets = zip(*held, strict=True)
+        links = _joining(np.array(nodes), np.array(roots), [np.array(x, dtype=np.int64) for x in others], list(sets))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("key", "node", "root", "others")]
+        for own, *row, items in zip(*columns, batch.column("__items"), strict=True):
+            if own != key and held:
+                yield result()
+                held = []
+            key = own
+            held.append((*row, np.frombuffer(items.as_buffer(), dtype=_U).copy()))
+    if held:
+        yield result()
+
+
+def full_sets(some: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node`` and ``__items`` for the nodes of ``some``, a written table. The sets are made anew from their texts."""
+    wanted = nodes.select("node", "__set", "__id").join(some.distinct(), "node", "left_semi")
     ids = wanted.select(F.col("__id").alias("__want")).distinct()
-    ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if some.count() <= BROADCAST_IDS else ids
     texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("__want")), "left_semi")
     items = [T.StructField("__set", T.BinaryType()), T.StructField("__items", T.BinaryType())]
     sets = add_by_text(texts, text_col, partial(_keys, True), items, keep=[])
-    sets = sets.join(wanted.select("node", "__set"), "__set").dropDuplicates(["node"]).select("node", "__items")
-    return with_pivots(pairs, sets).mapInArrow(_similar_stars, _PAIRS)
+    return sets.join(wanted.select("node", "__set"), "__set").dropDuplicates(["node"]).select("node", "__items")
+
+
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets are similar."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    return with_pivots(pairs, full_sets(ends, nodes, docs, id_col, text_col)).mapInArrow(_similar_stars, _PAIRS)
+
+
+def confirm_groups(groups: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between the components of each of ``groups`` (``_GROUPS``): those that all its similar pairs join."""
+    sets = full_sets(groups.select("node"), nodes, docs, id_col, text_col)
+    rows = groups.join(sets, "node").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_similar_groups, _PAIRS)
 
 
 #: Rows of a file of an intermediate table, about.
@@ -386,7 +473,7 @@ def components(tables: Tables, links: DataFrame) -> DataFrame:
 
 
 def _cross(tables: Tables, members: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
-    """Close pairs across components in the bands that hold two components or more.
+    """Groups of close nodes of different components in the bands that hold two components or more.
 
     A band's nodes lie in cells: by size class, by component where one fills more than a block, and by hash. Cells meet
     whose sizes allow a link and which are not of one component alone, so a large group of copies costs its outsiders
@@ -410,7 +497,7 @@ def _cross(tables: Tables, members: DataFrame, found: DataFrame, signed: DataFra
     other = meet.where("NOT same").select("key", F.lit(1).alias("side"), "band", "y.*")
     rows = first.unionByName(other).join(rest, cell).select("key", "side", "band", "node", "root")
     rows = rows.join(signed, "node").repartition("key").sortWithinPartitions("key", "side")
-    return rows.mapInArrow(_cross_cells, _PAIRS)
+    return rows.mapInArrow(_cross_cells, _GROUPS)
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -436,19 +523,18 @@ def node_links(tables: Tables, nodes: DataFrame, docs: DataFrame, id_col: str, t
     def close_to_pivots(pairs: DataFrame) -> DataFrame:
         return tables.written(with_pivots(pairs, signed.drop("__bands")).mapInArrow(_close_stars, _PAIRS), "near-stars")
 
-    def joined_by(found: DataFrame, pairs: DataFrame) -> DataFrame:
-        if pairs.isEmpty():
+    def joined_by(found: DataFrame, candidates: DataFrame, by: Callable = confirm) -> DataFrame:
+        if candidates.isEmpty():
             return found
         chains = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        return components(tables, chains.unionByName(confirm(pairs, nodes, docs, id_col, text_col)))
+        return components(tables, chains.unionByName(by(candidates, nodes, docs, id_col, text_col)))
 
     none = nodes.sparkSession.createDataFrame([], "node long, root long")
     stars = close_to_pivots(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     found = joined_by(none, stars)
     more = close_to_pivots(_across(pivots.distinct(), found).join(stars, ["a", "b"], "left_anti"))
     found = joined_by(found, more)
-    cross = _cross(tables, members, found, signed).join(stars.unionByName(more), ["a", "b"], "left_anti")
-    return joined_by(found, tables.written(cross, "near-cross"))
+    return joined_by(found, tables.written(_cross(tables, members, found, signed), "near-cross"), confirm_groups)
 
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -235,6 +235,55 @@ def test_cross_component_pairs_are_found(spark):
     assert {r.component_id for r in near_dedup.near_duplicates(df).collect()} == {0}
 
 
+def versions(n, words, changed, seed):
+    """Versions of one text, each with other words in a few places: most pairs are just below the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    return [" ".join(f"x{v}y{k}" if k in own else w for k, w in enumerate(base)) for v in range(n) for own in [set(rng.sample(range(words), changed))]]
+
+
+def test_candidates_across_components_follow_the_nodes():
+    """One cell of texts that are all close and mostly not similar: its rows are its nodes, not their pairs, and its links
+    join what is similar."""
+    import pyarrow as pa
+
+    sets = [near_dedup.shingles(t.encode()) for t in versions(200, 190, 3, 7)]
+    n, samples = len(sets), [near_dedup.bin_samples(s) for s in sets]
+    cell = {"key": ["c"] * n, "side": [2] * n, "band": [1] * n, "node": range(n), "root": range(n), "n_shingles": map(len, sets), "__samples": map(len, samples)}
+    cell |= {"__sketch": [near_dedup.odd_sketch(s).tolist() for s in samples], "__bands": [[1]] * n}
+    rows = list(near_dedup._cross_cells(iter([pa.RecordBatch.from_pydict({k: list(v) for k, v in cell.items()})])))
+    assert 0 < sum(r.num_rows for r in rows) <= n
+    held = [r.append_column("__items", pa.array([sets[k].tobytes() for k in r.column("node").to_pylist()])) for r in rows]
+    links = [x for r in near_dedup._similar_groups(iter(held)) for x in zip(*r.to_pydict().values(), strict=True)]
+    similar = [(i, k) for i in range(n) for k in range(i) if near_dedup.similar(sets[i], sets[k])]
+    mine, want = list(range(n)), list(range(n))
+    for root, edges in ((mine, links), (want, similar)):
+        for i, k in edges:
+            root[:] = [root[k] if x == root[i] else x for x in root]
+    assert 0 < len(links) < n <= len(similar) < n * n / 5
+    assert all((mine[i] == mine[k]) == (want[i] == want[k]) for i in range(n) for k in range(i))
+
+
+def test_groups_are_cut_and_join_components(monkeypatch):
+    """Each similar pair of a group is joined over the links that come out, however small the groups."""
+    monkeypatch.setattr(near_dedup, "GROUP_ITEMS", 1000)
+    sets = [near_dedup.shingles(t.encode()) for t in versions(60, 140, 2, 3)]
+    nodes, sizes = np.arange(60) * 7 % 61, np.array(list(map(len, sets)))
+    i, k = np.triu_indices(60, 1)
+    root, links, own = {int(x): int(x) for x in nodes}, [], dict(zip(nodes.tolist(), sets, strict=True))
+    groups = list(near_dedup._grouped((nodes, nodes, sizes), (nodes, nodes, sizes), i, k, "x"))
+    assert len(groups) > 20 and sum(len(o) for g in groups for o in g.column("others").to_pylist()) == len(i)
+    for g in groups:
+        at = g.column("node").to_numpy()
+        a, b = near_dedup._joining(at, g.column("root").to_numpy(), [np.array(o, dtype=np.int64) for o in g.column("others").to_pylist()], [own[x] for x in at.tolist()])
+        assert all(near_dedup.similar(own[x], own[y]) for x, y in zip(a, b, strict=True)) and len(a) < len(at)
+        links += zip(a, b, strict=True)
+    for a, b in links:
+        root = {n: root[b] if x == root[a] else x for n, x in root.items()}
+    similar = [(int(nodes[x]), int(nodes[y])) for x, y in zip(i, k, strict=True) if near_dedup.similar(sets[x], sets[y])]
+    assert similar and all(root[a] == root[b] for a, b in similar) and len(set(groups[0].column("key").to_pylist())) == 1
+
+
 def test_sharding(spark):
     df = table(spark)
     rows = sharding.shard_rows(df, 4).collect()
