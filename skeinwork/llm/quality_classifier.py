@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.common import Tables, add_by_text
+from skeinwork.llm.common import Tables, add_by_text, release
 from skeinwork.llm.near_dedup import word_hashes
 
 #: Labelled rows that the model is fit on at most: those with the smallest hash of their id.
@@ -206,7 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         chosen = rows.orderBy(*place).limit(n).withColumn("__h", F.xxhash64("__text"))
         found = add_by_text(chosen, "__text", lambda: _training, [field], keep=["__id", "__y", "__h"]).toArrow()
     found = found.sort_by([("__id", "ascending"), ("__h", "ascending")])
-    return fit([np.asarray(x.as_py() or [], dtype=np.int64) for x in found.column("__dims")], found.column("__y").to_pylist())
+    model = fit([x.values.to_numpy() for x in found.column("__dims")], found.column("__y").to_pylist())
+    del found
+    release()
+    return model
 
 
 def _factory(model) -> Callable:

@@ -242,6 +242,20 @@ def versions(n, words, changed, seed):
     return [" ".join(f"x{v}y{k}" if k in own else w for k, w in enumerate(base)) for v in range(n) for own in [set(rng.sample(range(words), changed))]]
 
 
+def test_training_leaves_no_memory_in_the_driver(spark):
+    def held():
+        found = re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read())
+        return sum(map(int, found)) / 1024
+
+    text = F.expr("concat_ws(' ', transform(sequence(1, 800), k -> substr(md5(concat(id, ':', k)), 1, 2 + k % 3)))")
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    quality_classifier.train(docs.limit(50), labels)
+    before = held()
+    quality_classifier.train(docs, labels)
+    assert held() - before < 30
+
+
 def test_candidates_across_components_follow_the_nodes():
     """One cell of texts that are all close and mostly not similar: its rows are its nodes, not their pairs, and its links
     join what is similar."""
